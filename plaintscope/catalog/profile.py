@@ -163,14 +163,14 @@ PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
 def _pivot_sql(fill: bool) -> str:
-    cell = "count(*) FILTER (o_orderstatus = 'F' AND o_orderpriority = '{p}')"
+    cell = "count(*) FILTER (o_orderpriority = '{p}')"
     cell = cell if fill else f"nullif({cell}, 0)"
     columns = ", ".join(f"{cell.format(p=p)} AS \"{p}\"" for p in PRIORITIES)
-    return f"SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, {columns} FROM orders WHERE o_orderstatus = 'F' GROUP BY 1"
+    return f"SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, {columns} FROM orders GROUP BY 1"
 
 
 def _pivot(t: Tables, fill: bool):
-    o = t.orders.filter(F.col("o_orderstatus") == "F").withColumn("day", F.date_format("o_orderdate", "yyyy-MM-dd"))
+    o = t.orders.withColumn("day", F.date_format("o_orderdate", "yyyy-MM-dd"))
     return P.pivot_counts(o, "day", "o_orderpriority", PRIORITIES, fill)
 
 

@@ -198,13 +198,13 @@ def f15_stem_map(t: Tables):
     return stemmed.select("doc_id", X.join_tokens(X.min_token_len("tokens")).alias("v"))
 
 
+# Customers whose key is also a supplier's get that name, the others keep their key.
 @query("f17_display_name", """
-SELECT c_custkey, coalesce(n_name, c_nationkey::VARCHAR) AS n_name
-FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 2 = 0) ON c_nationkey = n_nationkey
+SELECT c_custkey, coalesce(s_name, c_custkey::VARCHAR) AS s_name FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey
 """)
 def f17_display_name(t: Tables):
-    dim = t.nation.filter(F.col("n_nationkey") % 2 == 0).select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    return display_name(t.customer.select("c_custkey", "c_nationkey"), dim, "c_nationkey", "n_name").select("c_custkey", "n_name")
+    dim = t.supplier.select(F.col("s_suppkey").alias("c_custkey"), "s_name")
+    return display_name(t.customer.select("c_custkey"), dim, "c_custkey", "s_name")
 
 
 @query("f26_left", "SELECT doc_id, substr(text, 1, 45) AS v FROM documents")
@@ -376,19 +376,19 @@ LISTS = """
 SELECT category, trim(lower(term)) AS term FROM (
   SELECT 'name' AS category, unnest(string_split(p_name, ' ')) AS term FROM part
   UNION ALL SELECT 'type', unnest(string_split(' ' || p_type, ' ')) FROM part
-  UNION ALL SELECT 'size', unnest(string_split(p_type, ' ')) FROM part WHERE p_size > 25)
+  UNION ALL SELECT 'brand', unnest(string_split(p_brand, '#')) FROM part)
 WHERE trim(term) <> ''
 """
 
 
 def _lists(t: Tables):
-    def words(name, text, rows):
-        return rows.select(F.lit(name).alias("category"), F.explode(F.split(text, " ")).alias("term"))
+    def words(name, text, sep=" "):
+        return t.part.select(F.lit(name).alias("category"), F.explode(F.split(text, sep)).alias("term"))
 
     return (
-        words("name", F.col("p_name"), t.part)
-        .unionByName(words("type", F.concat(F.lit(" "), F.col("p_type")), t.part))
-        .unionByName(words("size", F.col("p_type"), t.part.filter(F.col("p_size") > 25)))
+        words("name", F.col("p_name"))
+        .unionByName(words("type", F.concat(F.lit(" "), F.col("p_type"))))
+        .unionByName(words("brand", F.col("p_brand"), "#"))
     )
 
 

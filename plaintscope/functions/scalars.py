@@ -30,12 +30,14 @@ def p_label(p: Column | str) -> Column:
     return F.when(_c(p) < 0.001, "p < 0.001").otherwise(F.format_string("p = %.3f", _c(p)))
 
 
-def verdict(accuracy: Column | str, target: float = fv.ACCURACY_TARGET) -> Column:
-    return F.when(_c(accuracy) >= target, "met").otherwise("not met")
+def verdict(
+    accuracy: Column | str, target: float = fv.ACCURACY_TARGET, labels: tuple[str, str] = ("met", "not met")
+) -> Column:
+    return F.when(_c(accuracy) >= target, labels[0]).otherwise(labels[1])
 
 
-def direction(difference: Column | str) -> Column:
-    return F.when(_c(difference) > 0, "positive").when(_c(difference).isNotNull(), "negative")
+def direction(difference: Column | str, labels: tuple[str, str] = ("positive", "negative")) -> Column:
+    return F.when(_c(difference) > 0, labels[0]).when(_c(difference).isNotNull(), labels[1])
 
 
 def clip_upper(c: Column | str, high: Column | float) -> Column:

@@ -15,14 +15,22 @@ def _rewrite(df: DataFrame, key: str, tokens: str, change) -> DataFrame:
     """Explode token arrays, let `change` filter or rename `token`, put them back in order.
 
     Documents are spread by `key` before exploding, so after a broadcast lookup the
-    regrouping needs no second shuffle; texts without tokens keep an empty array.
+    regrouping needs no second shuffle. Each document also sends one row without a token:
+    it carries the other columns and keeps documents that lose every token.
     """
-    spread = df.repartition(key)
-    long = spread.select(key, F.posexplode(tokens).alias("__at", "token"))
-    back = change(long).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("__at", "token"))).alias("__t"))
-    joined = spread.join(back, key, "left")
-    kept = F.coalesce(F.col("__t")["token"], F.array().cast("array<string>"))
-    return joined.withColumn(tokens, kept).select(*df.columns)
+    others = F.struct(*[c for c in df.columns if c not in (key, tokens)] or [F.lit(0).alias("none")])
+    kind = df.select(others.alias("s")).schema["s"].dataType
+    head = F.array(F.struct(F.lit(-1).alias("at"), F.lit(None).cast("string").alias("token"), others.alias("rest")))
+    body = F.transform(
+        tokens,
+        lambda t, i: F.struct(i.alias("at"), t.alias("token"), F.lit(None).cast(kind).alias("rest")),
+    )
+    long = df.repartition(key).select(key, F.explode(F.concat(head, body)).alias("t")).select(key, "t.*")
+    back = change(long).groupBy(key).agg(
+        F.first("rest", ignorenulls=True).alias("rest"),
+        F.array_sort(F.collect_list(F.when(F.col("at") >= 0, F.struct("at", "token"))))["token"].alias(tokens),
+    )
+    return back.select(*[c if c in (key, tokens) else f"rest.{c}" for c in df.columns])
 
 
 def drop_tokens(df: DataFrame, key: str, tokens: str, stops: DataFrame, term: str = "term") -> DataFrame:
@@ -37,7 +45,7 @@ def apply_stems(df: DataFrame, key: str, tokens: str, stems: DataFrame) -> DataF
 
     def change(long: DataFrame) -> DataFrame:
         joined = long.join(small_side(lookup), "token", "left")
-        return joined.select(key, "__at", F.coalesce("stem", "token").alias("token"))
+        return joined.select(key, "at", F.coalesce("stem", "token").alias("token"), "rest")
 
     return _rewrite(df, key, tokens, change)
 
