@@ -122,14 +122,14 @@ def _grid(t: Tables, **options):
 
 @query("m14_grid")
 def m14_grid(t: Tables):
-    board = M.leaderboard(_grid(t, trees=20, depth=5, folds=0))
+    board = M.leaderboard(_grid(t, trees=20, depth=5, folds=0, max_iter=50))
     return board.select("group_key", "model", *[r6(c).alias(c) for c in ("accuracy", "precision", "recall", "f1", "auc")])
 
 
 @query("m13_features")
 def m13_features(t: Tables):
     rows = None
-    for fitted in _grid(t, trees=5, depth=4, folds=0):
+    for fitted in _grid(t, trees=5, depth=4, folds=0, max_iter=50):
         for name, model in fitted.models.items():
             top = M.feature_top(model, fitted.terms).withColumns({"group_key": F.lit(fitted.group), "model": F.lit(name)})
             rows = top if rows is None else rows.unionByName(top)

@@ -269,10 +269,10 @@ def a18_score_dist(t: Tables):
 
 
 TREND = f"""
-WITH c AS (SELECT o_orderpriority, {MONTH} AS month, count(*) AS n FROM orders GROUP BY 1, 2),
-s AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY month) - 1 AS seq FROM c),
-l AS (SELECT o_orderpriority, count(*) AS months, regr_slope(n, seq) AS slope, regr_intercept(n, seq) AS intercept
-      FROM s GROUP BY 1 HAVING count(*) >= 2)
+WITH month_counts AS (SELECT o_orderpriority, {MONTH} AS month, count(*) AS n FROM orders GROUP BY 1, 2),
+month_seq AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY month) - 1 AS seq FROM month_counts),
+month_line AS (SELECT o_orderpriority, count(*) AS months, regr_slope(n, seq) AS slope, regr_intercept(n, seq) AS intercept
+               FROM month_seq GROUP BY 1 HAVING count(*) >= 2)
 """
 
 
@@ -281,7 +281,7 @@ def _months(t: Tables):
 
 
 @query("a24_trend", TREND + """
-SELECT o_orderpriority, months, round_even(slope, 6) AS slope, round_even(intercept, 6) AS intercept FROM l
+SELECT o_orderpriority, months, round_even(slope, 6) AS slope, round_even(intercept, 6) AS intercept FROM month_line
 """)
 def a24_trend(t: Tables):
     return P.monthly_trend(_months(t), "o_orderpriority", "month").select(
@@ -291,20 +291,20 @@ def a24_trend(t: Tables):
 
 @query("a24_trend_points", TREND + """
 SELECT o_orderpriority, month, n, round_even(intercept + slope * seq, 6) AS fitted
-FROM s JOIN l USING (o_orderpriority)
+FROM month_seq JOIN month_line USING (o_orderpriority)
 """)
 def a24_trend_points(t: Tables):
     return P.trend_points(_months(t), "o_orderpriority", "month").withColumn("fitted", r6("fitted"))
 
 
 @query("w4_last_point", TREND + """
-SELECT o_orderpriority, max(month) AS month, arg_max(n, month) AS n FROM c GROUP BY 1
+SELECT o_orderpriority, max(month) AS month, arg_max(n, month) AS n FROM month_counts GROUP BY 1
 """)
 def w4_last_point(t: Tables):
     return last_point(_months(t), "o_orderpriority", "month", "n")
 
 
-@query("w3_sequence", TREND + "SELECT o_orderpriority, month, n, CAST(seq AS BIGINT) AS seq FROM s")
+@query("w3_sequence", TREND + "SELECT o_orderpriority, month, n, CAST(seq AS BIGINT) AS seq FROM month_seq")
 def w3_sequence(t: Tables):
     return P.sequence_of_months(_months(t), ["o_orderpriority"], "month").withColumn("seq", F.col("seq").cast("bigint"))
 

@@ -33,7 +33,9 @@ def add_ranges(df: DataFrame, order: Column, rows_per_range: int = ROWS_PER_RANG
         numBuckets=wanted, relativeError=0.1 / wanted, handleInvalid="keep",
         inputCol=_ORDER, outputCol=_RANGE,
     )
-    return splitter.fit(df).transform(df)
+    # Nulls sort first, so they belong to the first range.
+    first = F.coalesce(F.col(_ORDER), F.lit(float("-inf")))
+    return splitter.fit(df).transform(df.withColumn(_ORDER, first))
 
 
 def running(
