@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from plaintscope.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -19,6 +21,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def texts(self, *columns: str) -> DataFrame:
+        """The named document columns, spread over all cores for work on the texts."""
+        return spread(self.documents.select("doc_id", "text", *columns), "doc_id")
+
     def labelled(self) -> DataFrame:
         """Documents with their labels where there are any."""
         return self.documents.join(self.labels, "doc_id", "left")
@@ -36,7 +42,7 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def r6(c) -> "F.Column":
+def r6(c: Column | str) -> Column:
     """Six digits, half-even, as the SQL side rounds."""
     return F.bround(c, 6)
 

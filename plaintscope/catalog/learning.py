@@ -114,10 +114,10 @@ def f21_verdict(t: Tables):
 
 
 def _grid(t: Tables, **options):
-    docs = t.documents.join(t.labels, "doc_id").select(
-        "lang", "doc_id", "quality", X.ngrams(X.feature_tokens("text"), 1, 2).alias("terms")
+    docs = t.texts("lang").join(t.labels, "doc_id").select(
+        "lang", "doc_id", "quality", X.feature_tokens("text").alias("words")
     )
-    return M.train_grid(docs, "lang", "doc_id", "quality", "terms", **options)
+    return M.train_grid(docs, "lang", "doc_id", "quality", "words", **options)
 
 
 @query("m14_grid")

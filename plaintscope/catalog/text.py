@@ -87,7 +87,7 @@ def f1_tr_date(t: Tables):
 
 @query("f4_words", f"SELECT doc_id, len(regexp_extract_all(text, '{NOT_WS}'))::INTEGER AS n FROM documents")
 def f4_words(t: Tables):
-    return t.documents.select("doc_id", X.word_count("text").alias("n"))
+    return t.texts().select("doc_id", X.word_count("text").alias("n"))
 
 
 @query("f5_chars", "SELECT doc_id, coalesce(length(text), 0)::INTEGER AS n FROM documents")
@@ -102,7 +102,7 @@ def digest(c):
 # Whole texts are transformed; the digest keeps the compared rows short.
 @query("f6_lower", "SELECT doc_id, md5(lower(text)) AS v FROM documents")
 def f6_lower(t: Tables):
-    return t.documents.select("doc_id", digest(X.lower("text")).alias("v"))
+    return t.texts().select("doc_id", digest(X.lower("text")).alias("v"))
 
 
 @query("f7_urls", f"SELECT page_id, regexp_replace('see ' || url || ' and www.x' || page_id || '.org/a end', '{SQL_STEPS[0][0]}', ' ', 'g') AS v FROM pages")
@@ -119,12 +119,12 @@ def f8_mentions(t: Tables):
 
 @query("f9_digits", f"SELECT doc_id, md5(regexp_replace(text, '{SQL_STEPS[2][0]}', ' ', 'g')) AS v FROM documents")
 def f9_digits(t: Tables):
-    return t.documents.select("doc_id", digest(X.remove_digits("text")).alias("v"))
+    return t.texts().select("doc_id", digest(X.remove_digits("text")).alias("v"))
 
 
 @query("f10_punct", f"SELECT doc_id, md5(regexp_replace(text, '{SQL_STEPS[3][0]}', ' ', 'g')) AS v FROM documents")
 def f10_punct(t: Tables):
-    return t.documents.select("doc_id", digest(X.remove_punctuation("text")).alias("v"))
+    return t.texts().select("doc_id", digest(X.remove_punctuation("text")).alias("v"))
 
 
 @query("f11_underscore", "SELECT n_nationkey, replace(n_name, '_', ' ') AS v FROM nation")
@@ -134,18 +134,18 @@ def f11_underscore(t: Tables):
 
 @query("f12_spaces", f"SELECT doc_id, md5(trim(regexp_replace(text, '[{SPACE}]+', ' ', 'g'))) AS v FROM documents")
 def f12_spaces(t: Tables):
-    return t.documents.select("doc_id", digest(X.collapse_spaces("text")).alias("v"))
+    return t.texts().select("doc_id", digest(X.collapse_spaces("text")).alias("v"))
 
 
 @query("f13_tokens", f"SELECT doc_id, len(l)::INTEGER AS n, md5(array_to_string(l, ' ')) AS v FROM (SELECT doc_id, regexp_extract_all(text, '{NOT_WS}') AS l FROM documents)")
 def f13_tokens(t: Tables):
     tokens = X.tokenise("text")
-    return t.documents.select("doc_id", F.size(tokens).alias("n"), digest(X.join_tokens(tokens)).alias("v"))
+    return t.texts().select("doc_id", F.size(tokens).alias("n"), digest(X.join_tokens(tokens)).alias("v"))
 
 
 @query("f14_clean", f"SELECT doc_id, array_to_string({tokens_sql('text')}, ' ') AS v FROM documents")
 def f14_clean(t: Tables):
-    return t.documents.select("doc_id", X.clean_text("text", STOPS).alias("v"))
+    return t.texts().select("doc_id", X.clean_text("text", STOPS).alias("v"))
 
 
 @query("p5_stops", f"""
@@ -154,7 +154,7 @@ SELECT doc_id, array_to_string(list_filter(l, lambda x: x NOT IN ({STOP_LIST})),
 """)
 def p5_stops(t: Tables):
     # The stop words as a table, anti-joined.
-    docs = t.documents.select("doc_id", X.word_tokens("text").alias("tokens"))
+    docs = t.texts().select("doc_id", X.word_tokens("text").alias("tokens"))
     stops = K.build_stopwords({"fixed": STOPS}, t.spark)
     return K.drop_tokens(docs, "doc_id", "tokens", stops).select("doc_id", X.join_tokens("tokens").alias("v"))
 
@@ -165,19 +165,19 @@ FROM (SELECT doc_id, array_to_string({tokens_sql('text')}, ' ') AS v FROM docume
 """)
 def p3_min_len(t: Tables):
     v = X.clean_text("text", STOPS)
-    return t.documents.select("doc_id", X.min_len(v, 3).alias("kept"), X.min_len(v, 20).alias("pooled"))
+    return t.texts().select("doc_id", X.min_len(v, 3).alias("kept"), X.min_len(v, 20).alias("pooled"))
 
 
 @query("p6_token_len", f"""
 SELECT doc_id, array_to_string(list_filter(regexp_extract_all(text, '{NOT_WS}'), lambda w: length(w) > 2), ' ') AS v FROM documents
 """)
 def p6_token_len(t: Tables):
-    return t.documents.select("doc_id", X.join_tokens(X.min_token_len(X.tokenise("text"))).alias("v"))
+    return t.texts().select("doc_id", X.join_tokens(X.min_token_len(X.tokenise("text"))).alias("v"))
 
 
 @query("p7_min_tokens", f"SELECT doc_id, len({tokens_sql('text')})::INTEGER AS n FROM documents WHERE len({tokens_sql('text')}) >= 3")
 def p7_min_tokens(t: Tables):
-    docs = t.documents.select("doc_id", F.size(X.word_tokens("text", STOPS)).alias("n"))
+    docs = t.texts().select("doc_id", F.size(X.word_tokens("text", STOPS)).alias("n"))
     return docs.filter(F.col("n") >= 3)
 
 
@@ -190,7 +190,7 @@ SELECT doc_id, array_to_string(list_filter(list_transform({tokens_sql('text')},
 FROM documents
 """)
 def f15_stem_map(t: Tables):
-    docs = t.documents.select("doc_id", X.word_tokens("text", STOPS).alias("tokens"))
+    docs = t.texts().select("doc_id", X.word_tokens("text", STOPS).alias("tokens"))
     words = docs.select(F.explode("tokens").alias("token")).distinct()
     long = (F.length("token") > 5) & F.right("token", F.lit(3)).isin("ing", "ion", "ent")
     stems = words.filter(long).select("token", F.expr("left(token, length(token) - 3)").alias("stem"))
@@ -234,7 +234,7 @@ SELECT doc_id, len(terms)::INTEGER AS n, md5(array_to_string(terms, '|')) AS v F
 """)
 def t3_ngrams(t: Tables):
     terms = X.ngrams("tokens", 1, 2)
-    docs = t.documents.select("doc_id", X.feature_tokens("text").alias("tokens"))
+    docs = t.texts().select("doc_id", X.feature_tokens("text").alias("tokens"))
     return docs.select("doc_id", F.size(terms).alias("n"), digest(X.join_tokens(terms, "|")).alias("v"))
 
 
@@ -320,7 +320,7 @@ c AS (SELECT lang, term, count(*) AS n FROM w GROUP BY 1, 2)
 SELECT * FROM (SELECT lang, term, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, term)::INTEGER AS rank FROM c) WHERE rank <= 100
 """)
 def a22_top_words(t: Tables):
-    return K.top_words(t.documents, "lang", X.word_tokens("text", STOPS))
+    return K.top_words(t.texts("lang"), "lang", X.word_tokens("text", STOPS))
 
 
 @query("a23_cleaning", f"""
@@ -330,7 +330,7 @@ SELECT lang, count(*) AS n, round_even(avg(before), 6) AS words_before, round_ev
 FROM c GROUP BY lang
 """)
 def a23_cleaning(t: Tables):
-    d = t.documents.select("lang", X.word_count("text").alias("before"), X.word_tokens("text", STOPS).alias("tokens"))
+    d = t.texts("lang").select("lang", X.word_count("text").alias("before"), X.word_tokens("text", STOPS).alias("tokens"))
     s = P.cleaning_stats(d, "lang", F.col("before"), F.size("tokens"), X.join_tokens("tokens"))
     return s.withColumn("words_before", r6("words_before")).withColumn("words_after", r6("words_after"))
 
@@ -408,7 +408,7 @@ SELECT doc_id, substr(text, 1, 250) AS before, substr(clean, 1, 250) AS after FR
 ORDER BY md5('42:' || doc_id), doc_id LIMIT 3
 """)
 def o4_sample(t: Tables):
-    d = t.documents.select("doc_id", "text", X.clean_text("text", STOPS).alias("clean"))
+    d = t.texts().select("doc_id", "text", X.clean_text("text", STOPS).alias("clean"))
     s = K.stable_sample(d, "doc_id", 3, 42, X.min_len("clean", 20))
     return s.select("doc_id", left_n("text", 250).alias("before"), left_n("clean", 250).alias("after"))
 

@@ -48,6 +48,7 @@ TOPIC_MAX_DF_SHARE = 0.85
 TOPIC_MAX_TERMS = 100_000
 TOPIC_RANGE = range(3, 11)
 TFIDF_MIN_DF = 2
+TFIDF_NGRAMS = (1, 2)
 TFIDF_MAX_TERMS = 10_000
 COHERENCE_WINDOW = 110
 COHERENCE_TOP = 20

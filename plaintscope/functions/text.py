@@ -7,7 +7,7 @@ in other regular-expression engines.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -28,6 +28,14 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def evaluate_once(c: Column, build: Callable[[Column], Column]) -> Column:
+    """`build(c)` with `c` evaluated a single time however often `build` uses it.
+
+    Array lambdas are interpreted, and there repeated subexpressions are not shared.
+    """
+    return F.transform(F.array(c), build)[0]
+
+
 def lower(c: Column | str, locale: str | None = None) -> Column:
     """Lower case; ``locale="tr"`` maps İ→i and I→ı as Turkish does."""
     if locale is None:
@@ -107,7 +115,12 @@ def word_tokens(
     and splitting; the minimum length rides along in the same match because a greedy
     run is never cut short.
     """
-    cleaned = remove_mentions(remove_urls(lower(F.coalesce(_c(c), F.lit("")), locale)))
+    # Most texts hold neither a link nor a mention; a substring test is cheaper than a regex pass.
+    unlinked = evaluate_once(
+        lower(F.coalesce(_c(c), F.lit("")), locale),
+        lambda t: F.when(t.contains("http") | t.contains("www."), remove_urls(t)).otherwise(t),
+    )
+    cleaned = evaluate_once(unlinked, lambda t: F.when(t.contains("@"), remove_mentions(t)).otherwise(t))
     runs = F.regexp_extract_all(cleaned, F.lit(f"{TOKEN}{{{longer_than + 1},}}"), F.lit(0))
     return remove_stops(runs, stops)
 
@@ -136,21 +149,18 @@ def feature_tokens(c: Column | str) -> Column:
 
 def ngrams(tokens: Column | str, low: int = 1, high: int = 2) -> Column:
     """All word n-grams for n in low..high, shortest first, joined with a blank."""
-    tokens = _c(tokens)
-    size = F.size(tokens)
-
-    def of(n: int) -> Column:
-        if n == 1:
-            return tokens
-        grams = tokens
-        for k in range(1, n):
-            shifted = F.slice(tokens, k + 1, F.greatest(size - k, F.lit(0)))
+
+    def build(words: Column) -> Column:
+        size = F.size(words)
+        parts = [words] if low == 1 else []
+        grams = words
+        for k in range(1, high):
+            left = F.greatest(size - k, F.lit(0))
             grams = F.zip_with(
-                F.slice(grams, 1, F.greatest(size - k, F.lit(0))),
-                shifted,
-                lambda a, b: F.concat_ws(" ", a, b),
+                F.slice(grams, 1, left), F.slice(words, k + 1, left), lambda a, b: F.concat_ws(" ", a, b)
             )
-        return grams
+            if k + 1 >= low:
+                parts.append(grams)
+        return parts[0] if len(parts) == 1 else F.concat(*parts)
 
-    parts = [of(n) for n in range(low, high + 1)]
-    return parts[0] if len(parts) == 1 else F.concat(*parts)
+    return evaluate_once(_c(tokens), build)

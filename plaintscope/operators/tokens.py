@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.ml.feature import StopWordsRemover
 
 from plaintscope.functions import fixed_values as fv
@@ -99,13 +99,15 @@ def default_stopwords(spark: SparkSession, language: str = "turkish") -> DataFra
 def stable_sample(df: DataFrame, key: str, n: int = 3, seed: int = fv.SEED, pool: Column | None = None) -> DataFrame:
     """`n` rows chosen by hash order of (seed, key): same rows on every run and cluster.
 
-    Rows of the pool come first, others only fill up when it is too small.
+    With a pool the rows come from it alone, fewer if it is smaller than n; only an empty
+    pool is replaced by the whole table.
     """
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
     outside = F.lit(0) if pool is None else F.when(F.coalesce(pool, F.lit(False)), 0).otherwise(1)
     if pool is None:
         return df.orderBy(digest, key).limit(n)
     # An existing pool is never topped up with outsiders; only an empty one is replaced.
-    ordered = df.withColumn("__out", outside).orderBy("__out", digest, key).limit(n)
-    first = ordered.agg(F.min("__out").alias("__best"))
-    return ordered.join(F.broadcast(first), ordered["__out"] == first["__best"]).select(*df.columns)
+    # The window sees the n chosen rows only.
+    chosen = df.withColumn("__out", outside).orderBy("__out", digest, key).limit(n)
+    best = F.min("__out").over(Window.partitionBy(F.lit(0)))
+    return chosen.withColumn("__best", best).filter("__out = __best").select(*df.columns)

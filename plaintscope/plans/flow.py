@@ -11,14 +11,15 @@ from plaintscope.functions import fixed_values as fv, text as X
 from plaintscope.functions.scalars import binarise
 from plaintscope.operators import classify as M, distribution as D, profile as P, reports as R, tokens as K, topics as T
 from plaintscope.operators.categories import category_counts, category_share, split_keywords, top_categories
-from plaintscope.session import stage
+from plaintscope.session import spread, stage
 from plaintscope.sources import sinks
 from plaintscope.sources.complaints import load_sources, with_derived
 
 
 def collect(spark: SparkSession, paths: dict[str, str], names: dict[str, str], out: str) -> DataFrame:
     """Sources, tagged, stacked and derived, as the raw stage."""
-    raw = with_derived(load_sources(spark, paths, names)).withColumn("resolved", binarise("is_resolved", fv.RESOLVED))
+    whole = spread(load_sources(spark, paths, names), "id")
+    raw = with_derived(whole).withColumn("resolved", binarise("is_resolved", fv.RESOLVED))
     sinks.write_table(raw, out)
     return spark.read.parquet(out)
 
@@ -96,8 +97,8 @@ def find_topics(cleaned: DataFrame, out: str, groups: list[str], key: str = "id"
 
 def classify(cleaned: DataFrame, out: str, key: str = "id", **options) -> tuple[DataFrame, list[M.GroupModels]]:
     """The model grid on the stemmed texts; models and leaderboard are saved."""
-    docs = cleaned.select("group_key", key, "resolved", X.ngrams(X.feature_tokens("clean_text"), 1, 2).alias("terms"))
-    results = M.train_grid(docs, "group_key", key, "resolved", "terms", **options)
+    docs = cleaned.select("group_key", key, "resolved", X.feature_tokens("clean_text").alias("features"))
+    results = M.train_grid(docs, "group_key", key, "resolved", "features", **options)
     for r in results:
         for name, model in r.models.items():
             sinks.save_model(model, f"{out}/models/{r.group}/{name}")

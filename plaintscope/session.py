@@ -68,5 +68,18 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return df
 
 
+def spread(source: DataFrame, key: str) -> DataFrame:
+    """Rows of a source spread over the cluster when its files give fewer splits than cores.
+
+    A few large row groups or multi-line CSV files would otherwise run expensive row work
+    in a few tasks. With enough splits, as in any large table, nothing is shuffled. Call
+    it on a plain scan.
+    """
+    cores = source.sparkSession.sparkContext.defaultParallelism
+    if source.rdd.getNumPartitions() >= cores:
+        return source
+    return source.repartition(cores, key)
+
+
 def cols(names: str | list[str]) -> list[str]:
     return [names] if isinstance(names, str) else list(names)
