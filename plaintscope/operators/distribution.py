@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from plaintscope.functions.scalars import clip_upper, erfc, null_if_nan, p_label
 from plaintscope.operators.ordered import ROWS_PER_RANGE, running
-from plaintscope.session import cols, small_side, stage
+from plaintscope.session import cols, join_groups, stage
 
 
 def value_table(df: DataFrame, groups: str | list[str], value: str, positive: Column | None = None) -> DataFrame:
@@ -19,13 +19,11 @@ def value_table(df: DataFrame, groups: str | list[str], value: str, positive: Co
 
     `n` counts rows with that value and is 0 on the null row, whose rows are in
     `n_null`. With `positive`, `c1`/`c0` split `n` by the label; a null label counts in
-    neither. Rows whose group is null are left out.
+    neither.
     """
     groups = cols(groups)
     base = df.select(*groups, null_if_nan(F.col(value).cast("double")).alias("value"),
                      *([positive.alias("__y")] if positive is not None else []))
-    for g in groups:
-        base = base.filter(F.col(g).isNotNull())
     present = F.col("value").isNotNull()
     counts = [
         F.count_if(present).alias("n"),
@@ -98,7 +96,7 @@ def box_stats(df: DataFrame, groups: str | list[str], value: str, rows_per_range
     groups = cols(groups)
     table = value_table(df, groups, value)
     quartiles = stage(quantiles_of(table, groups, {"q1": 0.25, "med": 0.5, "q3": 0.75}, rows_per_range))
-    joined = table.join(small_side(quartiles), groups)
+    joined = join_groups(table, quartiles, groups)
     reach = (F.col("q3") - F.col("q1")) * 1.5
     inside = F.col("value").between(F.col("q1") - reach, F.col("q3") + reach)
     return joined.groupBy(*groups).agg(
@@ -117,7 +115,7 @@ def clip_to_p95(df: DataFrame, groups: str | list[str], value: str, rows_per_ran
     table = value_table(df, groups, value)
     p95 = quantiles_of(table, groups, {"p95": 0.95}, rows_per_range)
     high = stage(p95.withColumn("p95", F.col("p95").cast("bigint").cast("double")))
-    joined = table.join(small_side(high), groups)
+    joined = join_groups(table, high, groups)
     return joined.withColumn("clipped", clip_upper("value", F.col("p95")))
 
 
@@ -143,7 +141,7 @@ def histogram(
         F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
         F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"),
     )
-    joined = table.join(small_side(ends), groups)
+    joined = join_groups(table, ends, groups)
     width = (F.col("hi") - F.col("lo")) / F.lit(bins)
     place = F.floor((F.col("clipped") - F.col("lo")) / width).cast("bigint")
     return (

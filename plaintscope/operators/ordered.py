@@ -12,7 +12,7 @@ import math
 from pyspark.ml.feature import QuantileDiscretizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from plaintscope.session import cols, small_side, stage
+from plaintscope.session import cols, group_key, join_groups, stage
 
 ROWS_PER_RANGE = 1_000_000
 MAX_RANGES = 10_000
@@ -51,39 +51,41 @@ def running(
 
     For each name in `sums` adds ``before_<name>`` (sum over earlier rows of the group)
     and ``total_<name>``; for each name in `previous` adds ``prev_<name>``. Rows are
-    ordered by the numeric or time column `order`, then `tie`. `df` must be staged.
+    ordered by the numeric or time column `order`, then `tie`. `df` must be staged, and
+    `order` nearly unique in a group: rows of equal `order` always share a task. A value
+    table, one row per distinct value, is.
     """
     groups = cols(groups)
     key = F.col(order)
     if dict(df.dtypes)[order] in ("timestamp_ntz", "date"):
         key = key.cast("timestamp")
-    ranged = add_ranges(df, key, rows_per_range)
+    ranged = add_ranges(df.withColumn("__g", group_key(groups)), key, rows_per_range)
     sort = [F.col(order).asc_nulls_first(), *[F.col(t) for t in tie]]
 
     totals = [F.sum(c).alias(f"__sum_{c}") for c in sums]
     edge = F.max_by(F.struct(*previous), F.struct(order, *tie)).alias("__last") if previous else None
-    per_range = ranged.groupBy(*groups, _RANGE).agg(
+    per_range = ranged.groupBy("__g", _RANGE).agg(
         *totals, *([edge] if previous else []), F.lit(1).alias("__one")
     )
-    by_range = Window.partitionBy(*groups).orderBy(_RANGE)
+    by_range = Window.partitionBy("__g").orderBy(_RANGE)
     earlier = by_range.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*groups)
+    whole = Window.partitionBy("__g")
     carried = per_range.select(
-        *groups,
+        "__g",
         _RANGE,
         *[F.coalesce(F.sum(f"__sum_{c}").over(earlier), F.lit(0)).alias(f"__off_{c}") for c in sums],
         *[F.sum(f"__sum_{c}").over(whole).alias(f"total_{c}") for c in sums],
         *([F.lag("__last").over(by_range).alias("__carried")] if previous else []),
     )
 
-    inside = Window.partitionBy(*groups, _RANGE).orderBy(*sort)
+    inside = Window.partitionBy("__g", _RANGE).orderBy(*sort)
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
     local = ranged.select(
         "*",
         *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"__in_{c}") for c in sums],
         *([F.lag(F.struct(*previous)).over(inside).alias("__near")] if previous else []),
     )
-    joined = local.join(carried, [*groups, _RANGE])
+    joined = local.join(carried, ["__g", _RANGE])
     keep = df.columns
     return joined.select(
         *keep,
@@ -105,7 +107,7 @@ def take_while(
     place = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
     keyed = df.withColumn("__place", place)
     cut = stage(keyed.filter(stop).groupBy(*groups).agg(F.min("__place").alias("__cut")))
-    joined = keyed.join(small_side(cut), groups, "left")
+    joined = join_groups(keyed, cut, groups, "left")
     return joined.filter(F.col("__cut").isNull() | (F.col("__place") < F.col("__cut"))).select(*df.columns)
 
 
@@ -183,5 +185,5 @@ def share_of_total(df: DataFrame, groups: str | list[str], n: str) -> DataFrame:
     """Percent of the group total. Totals are aggregated and joined, not windowed."""
     groups = cols(groups)
     totals = stage(df.groupBy(*groups).agg(F.sum(n).alias("__total")))
-    joined = df.join(small_side(totals), groups)
+    joined = join_groups(df, totals, groups)
     return joined.withColumn("share", F.lit(100.0) * F.col(n) / F.col("__total")).drop("__total")

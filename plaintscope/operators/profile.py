@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plaintscope.functions.scalars import band, direction, null_if_nan, rate, skew_flag
 from plaintscope.operators.distribution import quantiles_by, skewness
-from plaintscope.session import cols, small_side, stage
+from plaintscope.session import cols, join_groups, stage
 
 
 def count_by(df: DataFrame, groups: str | list[str], value: str) -> DataFrame:
@@ -93,7 +93,7 @@ def null_profile(df: DataFrame, groups: str | list[str], score: str, keywords: s
 def _with_quantiles(base: DataFrame, df: DataFrame, groups: list[str], value: str,
                     probs: dict[str, float], bounded: bool = False) -> DataFrame:
     """Join exact quantiles to a table with one row per group."""
-    return base.join(quantiles_by(df, groups, value, probs, bounded), groups, "left")
+    return join_groups(base, stage(quantiles_by(df, groups, value, probs, bounded)), groups, "left")
 
 
 def summary(df: DataFrame, groups: str | list[str], resolved: Column, score: str, words: str, views: str,
@@ -136,7 +136,7 @@ def score_distribution(df: DataFrame, groups: str | list[str], score: str, bound
     counts = df.groupBy(*groups, score).agg(F.count(F.lit(1)).alias("n"))
     per_group = df.groupBy(*groups).agg(rate(F.col(score).isNull()).alias("null_pct"))
     per_group = stage(_with_quantiles(per_group, df, groups, score, {"median": 0.5}, bounded_score))
-    return counts.filter(F.col(score).isNotNull()).join(small_side(per_group), groups)
+    return join_groups(counts.filter(F.col(score).isNotNull()), per_group, groups)
 
 
 def kpi_table(df: DataFrame, groups: str | list[str], resolved: Column, score: str, words: str, views: str,
@@ -224,7 +224,7 @@ def trend_points(counts: DataFrame, groups: str | list[str], month: str) -> Data
     """The monthly counts with the fitted line's value at each month."""
     groups = cols(groups)
     lines = monthly_trend(counts, groups, month)
-    points = sequence_of_months(counts, groups, month).join(lines, groups)
+    points = join_groups(sequence_of_months(counts, groups, month), stage(lines), groups)
     return points.withColumn("fitted", F.col("intercept") + F.col("slope") * F.col("seq")).select(
         *groups, month, "n", "fitted"
     )
@@ -240,4 +240,4 @@ def gate_groups(df: DataFrame, groups: str | list[str], at_least: int) -> DataFr
     """Rows of groups with at least `at_least` rows."""
     groups = cols(groups)
     big = stage(df.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= at_least))
-    return df.join(small_side(big.select(*groups)), groups, "left_semi")
+    return join_groups(df, big.select(*groups), groups, "left_semi")

@@ -8,7 +8,7 @@ from pyspark.ml.feature import StopWordsRemover
 from plaintscope.functions import fixed_values as fv
 from plaintscope.functions.text import strip
 from plaintscope.operators.ordered import top_per_group
-from plaintscope.session import cols, small_side
+from plaintscope.session import cols, small_side, stage
 
 
 def _rewrite(df: DataFrame, key: str, tokens: str, change) -> DataFrame:
@@ -35,16 +35,16 @@ def _rewrite(df: DataFrame, key: str, tokens: str, change) -> DataFrame:
 
 def drop_tokens(df: DataFrame, key: str, tokens: str, stops: DataFrame, term: str = "term") -> DataFrame:
     """Remove stop words held in a table of any size; repeats of other tokens stay."""
-    lookup = stops.select(F.col(term).alias("token")).distinct()
-    return _rewrite(df, key, tokens, lambda long: long.join(small_side(lookup), "token", "left_anti"))
+    lookup = small_side(stage(stops.select(F.col(term).alias("token")).distinct()))
+    return _rewrite(df, key, tokens, lambda long: long.join(lookup, "token", "left_anti"))
 
 
 def apply_stems(df: DataFrame, key: str, tokens: str, stems: DataFrame) -> DataFrame:
     """Replace each token by its stem from a (token, stem) table; unknown tokens stay."""
-    lookup = stems.select("token", "stem").groupBy("token").agg(F.min("stem").alias("stem"))
+    lookup = small_side(stage(stems.groupBy("token").agg(F.min("stem").alias("stem"))))
 
     def change(long: DataFrame) -> DataFrame:
-        joined = long.join(small_side(lookup), "token", "left")
+        joined = long.join(lookup, "token", "left")
         return joined.select(key, "at", F.coalesce("stem", "token").alias("token"), "rest")
 
     return _rewrite(df, key, tokens, change)

@@ -3,10 +3,19 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable, Iterable
+from functools import reduce
+from multiprocessing.pool import ThreadPool
+from typing import TypeVar
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-# Rows up to which a lookup frame may be broadcast. Callers prove the bound with
+T = TypeVar("T")
+R = TypeVar("R")
+
+# Rows up to which a narrow lookup frame may be broadcast. Callers prove the bound with
 # `small_side`; beyond it the join stays a shuffle join under AQE.
 BROADCAST_ROWS = 200_000
 
@@ -81,5 +90,46 @@ def spread(source: DataFrame, key: str) -> DataFrame:
     return source.repartition(cores, key)
 
 
+def join_groups(
+    left: DataFrame, right: DataFrame, groups: str | list[str], how: str = "inner", max_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Join a per-group table to rows of the groups; null is a group, as in groupBy.
+
+    The table is broadcast if it proves small enough (see `small_side`), so a hot group's
+    rows stay where they are.
+    """
+    groups = cols(groups)
+    theirs = [F.col(g).alias(f"__their_{g}") for g in groups]
+    table = right.select(*theirs, *[c for c in right.columns if c not in groups])
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"__their_{g}")) for g in groups])
+    joined = left.join(small_side(table, max_rows), same, how)
+    return joined.drop(*[f"__their_{g}" for g in groups])
+
+
+def group_key(groups: list[str]) -> Column:
+    """The group columns as one never-null value that is equal when all of them are."""
+    return F.struct(*groups) if groups else F.lit(0)
+
+
+def stage_by(df: DataFrame, group: str) -> DataFrame:
+    """Like `stage`, but as parquet folders per group, so reading one group reads only it."""
+    path = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.partitionBy(group).parquet(path)
+    kind = df.schema[group].dataType
+    return df.sparkSession.read.parquet(path).withColumn(group, F.col(group).cast(kind)).select(*df.columns)
+
+
+def in_parallel(work: Callable[[T], R], items: Iterable[T], parallelism: int = 4) -> list[R]:
+    """Results of independent model fits in order, a few of them running at a time.
+
+    A fit on one group is a chain of short jobs that leaves most of a cluster idle.
+    """
+    items = list(items)
+    if len(items) <= 1 or parallelism <= 1:
+        return [work(i) for i in items]
+    with ThreadPool(min(parallelism, len(items))) as pool:
+        return pool.map(inheritable_thread_target(SparkSession.active())(work), items, chunksize=1)
+
+
 def cols(names: str | list[str]) -> list[str]:
     return [names] if isinstance(names, str) else list(names)

@@ -195,3 +195,20 @@ def test_null_profile_identities(spark):
         assert r.filled + r.n_null == r.total
         assert r.null_pct == pytest.approx(100 * r.n_null / r.total)
     assert by_group(P.null_profile(df, "g", "s", "k", "r"), "n_null")["a"] == 2
+
+
+@pytest.mark.parametrize("per_range", [1_000_000, 2])
+def test_null_group_is_a_group(spark, per_range):
+    rows = [(None, i, float(i % 3), i % 2) for i in range(9)] + [("a", i, float(i), i % 2) for i in range(4)]
+    df = spark.createDataFrame(rows, "g string, id int, v double, y int")
+    med = by_group(D.quantiles_by(df, "g", "v", {"m": 0.5}, rows_per_range=per_range), "m")
+    assert med == {None: 1.0, "a": 1.5}
+    assert by_group(D.box_stats(df, "g", "v", per_range), "med") == med
+    assert set(by_group(D.roc_auc(df, "g", "v", F.col("y") == 1, per_range), "auc")) == {None, "a"}
+    assert sum(r.n for r in D.histogram(df, "g", "v", 3, True, per_range).collect()) == 13
+    assert S.stratified_split(df, "id", "y", "g").count() == 13
+    assert O.sequence_index(df, "g", "id", per_range).count() == 13
+    assert by_group(P.quality_precheck(df, "g", F.col("y") == 1, "v", bounded_score=False), "median") == med
+    assert P.gate_groups(df, "g", 9).count() == 9
+    kept = O.take_while(df, "g", [F.col("id")], F.col("id") == 2)
+    assert kept.count() == 4
