@@ -188,5 +188,6 @@ def x13_detail(t: Tables):
         F.lit('<div class="complaint-detail-description">'), F.replace(escaped, F.lit("\n"), F.lit("<br>")), F.lit("</div>"),
         F.coalesce(reply, F.lit("")), F.coalesce(badge, F.lit("")),
     )
-    pages = t.labelled().select(F.col("doc_id").cast("string").alias("url"), html.alias("html"))
+    docs = t.texts("source").join(t.labels, "doc_id", "left")
+    pages = docs.select(F.col("doc_id").cast("string").alias("url"), html.alias("html"))
     return S.detail_fields(pages, "html", "url")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plaintscope.catalog import Tables, query, r6
 from plaintscope.functions import text as X
 from plaintscope.functions.scalars import verdict
-from plaintscope.operators import classify as M, distribution as D, evaluation as V
+from plaintscope.operators import classify as M, distribution as D, evaluation as V, splits as S
 
 # Truth is `quality`, the prediction under test is `toxic`.
 CELLS = """
@@ -35,6 +35,22 @@ def m7_metrics(t: Tables):
     return m.select("lang", "n", *[r6(c).alias(c) for c in ("accuracy", "precision", "recall", "f1")])
 
 
+# Weighted F1 of each stratified fold, then mean and population deviation over the folds.
+@query("m12_cv", """
+WITH d AS (SELECT lang, doc_id, quality, toxic FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL),
+r AS (SELECT *, (row_number() OVER (PARTITION BY lang, quality ORDER BY md5('42:' || doc_id), doc_id) - 1) % 5 AS fold FROM d),
+c AS (SELECT lang, fold, count(*) FILTER (quality = 0 AND toxic = 0) AS n00, count(*) FILTER (quality = 0 AND toxic = 1) AS n01,
+             count(*) FILTER (quality = 1 AND toxic = 0) AS n10, count(*) FILTER (quality = 1 AND toxic = 1) AS n11 FROM r GROUP BY 1, 2),
+f AS (SELECT lang, fold, (coalesce(2.0 * n00 / nullif(2 * n00 + n01 + n10, 0), 0) * (n00 + n01)
+             + coalesce(2.0 * n11 / nullif(2 * n11 + n01 + n10, 0), 0) * (n10 + n11)) / (n00 + n01 + n10 + n11) AS f1 FROM c)
+SELECT lang, round_even(avg(f1), 6) AS cv_mean, round_even(stddev_pop(f1), 6) AS cv_std FROM f GROUP BY lang
+""")
+def m12_cv(t: Tables):
+    folded = S.stratified_folds(_predicted(t).select("doc_id", "lang", "quality", "toxic"), "doc_id", "quality", "lang")
+    per_fold = V.metrics(folded, ["lang", "fold"], "quality", "toxic")
+    return V.cross_validated(per_fold, "lang").select("lang", r6("cv_mean").alias("cv_mean"), r6("cv_std").alias("cv_std"))
+
+
 @query("m8_report", CELLS + """
 SELECT lang, class, round_even(p, 6) AS "precision", round_even(r, 6) AS recall, round_even(f, 6) AS f1, support FROM (
   SELECT lang, '0' AS class, p0 AS p, r0 AS r, f0 AS f, s0 AS support FROM f

@@ -28,7 +28,7 @@ SELECT lang, count(*) AS n,
 FROM d GROUP BY lang
 """)
 def a9_summary(t: Tables):
-    d = t.labelled().withColumn("words", word_count("text"))
+    d = t.texts("lang", "n_chars").join(t.labels, "doc_id", "left").withColumn("words", word_count("text"))
     s = P.summary(d, "lang", F.col("quality") == 1, "quality", "words", "n_chars")
     return s.select(
         "lang", "n", *[r6(c).alias(c) for c in

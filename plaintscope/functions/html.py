@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column, functions as F
 
 from plaintscope.functions import fixed_values as fv
-from plaintscope.functions.text import WS, strip
+from plaintscope.functions.text import WS, evaluate_once, strip
 
 _HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
 _TAG = r"<[^>]*>"
@@ -76,6 +76,47 @@ def extract_text(html: Column | str, tag: str, cls: str | None = None, default:
     return text if default is None else F.coalesce(text, F.lit(default))
 
 
+def nested_text(html: Column | str, cls: str, sep: str = "", exact: bool = True,
+                tag: str = "[a-zA-Z][a-zA-Z0-9]*") -> Column:
+    """Text of the first element of the class, of any kind and with anything nested in it,
+    its own kind too; null when there is none.
+
+    The page is cut into tags and texts, and a fold over them finds the matching end tag.
+    """
+    start_tag = "^" + opening(tag, cls, exact)
+
+    def name(piece: Column) -> Column:
+        return F.lower(F.regexp_extract(piece, r"^</?([a-zA-Z][a-zA-Z0-9]*)", 1))
+
+    def inner(pieces: Column) -> Column:
+        def end_of(own: Column) -> Column:
+            def step(state: Column, piece: Column) -> Column:
+                same = name(piece) == own
+                change = F.when(same & piece.startswith("</"), -1).when(same & ~piece.endswith("/>"), 1).otherwise(0)
+                depth, at = state["depth"] + change, state["at"] + 1
+                end = F.when((state["end"] == 0) & (depth == 0), at).otherwise(state["end"])
+                return F.struct(depth.alias("depth"), at.alias("at"), end.alias("end"))
+
+            start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end"))
+            return F.aggregate(pieces, start, step, lambda state: state["end"])
+
+        end = evaluate_once(name(pieces[0]), end_of)
+        return evaluate_once(end, lambda e: F.slice(pieces, 2, F.when(e == 0, F.size(pieces)).otherwise(e - 2)))
+
+    def text(pieces: Column) -> Column:
+        at = F.array_position(F.transform(pieces, lambda p: p.rlike(start_tag)), True)
+        kept = evaluate_once(F.slice(pieces, at.cast("int"), F.size(pieces)), inner)
+        words = F.transform(kept, lambda p: F.when(p.startswith("<"), "").otherwise(strip(decode_entities(p))))
+        return F.array_join(F.filter(words, lambda w: w != ""), sep)
+
+    html = _c(html)
+    found = html.rlike(opening(tag, cls, exact))
+    pieces = F.regexp_extract_all(visible(html), F.lit("<[^>]*>|[^<]+"), F.lit(0))
+    # A start tag inside a comment or script is no element.
+    shown = F.exists(pieces, lambda p: p.rlike(start_tag))
+    return F.when(found & shown, evaluate_once(pieces, text))
+
+
 def extract_attr(html: Column | str, tag: str, attr: str, default: str = "") -> Column:
     """Attribute of the first such tag that carries it."""
     html, pattern = _c(html), rf"(?s)<{tag}\b[^>]*\b{re.escape(attr)}=\"([^\"]*)\""

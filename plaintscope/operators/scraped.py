@@ -46,17 +46,12 @@ def list_cards(pages: DataFrame, html: str, operator: str, root: str, today: Col
 
 def detail_fields(pages: DataFrame, html: str, url: str) -> DataFrame:
     """Full text, reply, status and rating of detail pages."""
-    any_tag = ["div", "section", "p", "span"]
-
-    def pick(cls: str, sep: str, exact: bool = True) -> Column:
-        return F.coalesce(*[H.extract_text(html, tag, cls, None, sep, exact) for tag in any_tag])
-
     return pages.select(
         F.col(url).alias("url"),
-        F.coalesce(pick(fv.DETAIL_TEXT, "\n"), F.lit("")).alias("full_text"),
-        F.coalesce(pick(fv.DETAIL_REPLY, "\n"), F.lit("")).alias("company_reply"),
-        resolution_status(pick(fv.DETAIL_BADGE, "", exact=False)).alias("is_resolved"),
-        safe_double(pick(fv.DETAIL_RATING, "")).alias("satisfaction"),
+        F.coalesce(H.nested_text(html, fv.DETAIL_TEXT, "\n"), F.lit("")).alias("full_text"),
+        F.coalesce(H.nested_text(html, fv.DETAIL_REPLY, "\n"), F.lit("")).alias("company_reply"),
+        resolution_status(H.nested_text(html, fv.DETAIL_BADGE, exact=False)).alias("is_resolved"),
+        safe_double(H.nested_text(html, fv.DETAIL_RATING)).alias("satisfaction"),
     )
 
 

@@ -31,8 +31,8 @@ def test_list_cards(spark):
 
 def test_detail_and_enrich(spark):
     html = ('<div class="complaint-detail-description"><p> bir </p><!-- x --><script>y</script><p>iki &amp; üç</p></div>'
-            '<section class="complaint-reply-container">yanıt</section><div class="solved-badge ga">Çözülmedi</div><b class="rate-num">4</b>'
-            '<span class="rate-num">4.5</span>')
+            '<section class="complaint-reply-container">yanıt</section><div class="solved-badge ga">Çözülmedi</div><b class="rate-num">4.5</b>'
+            '<span class="rate-num">4</span>')
     pages = spark.createDataFrame([("u1", html), ("u2", "<p>bos</p>")], "url string, html string")
     detail = S.detail_fields(pages, "html", "url")
     rows = spark.createDataFrame([("u1", 1), ("u2", 2), ("u3", 3)], "url string, n int")
@@ -42,6 +42,20 @@ def test_detail_and_enrich(spark):
         assert (got[n].full_text, got[n].company_reply, got[n].is_resolved, got[n].satisfaction) == ("", "", "Bilinmiyor", None)
 
 
+@pytest.mark.parametrize("html, text", [
+    ('<div class="d"><div>a<div>b</div></div> c <br/></div><div>no</div>', "a|b|c"),
+    ('<DIV class="x d y">a<div/>b</DIV>c', "a|b"),
+    ('<p class="d">open <b>end', "open|end"),
+    ('<p class="d"></p><p class="d">x</p>', ""),
+    ('<!-- <p class="d">x</p> --><p class="dd">y</p>', None),
+    ("", None),
+    (None, None),
+])
+def test_nested_text(spark, html, text):
+    df = spark.createDataFrame([(html,)], "html string")
+    assert df.select(H.nested_text("html", "d", "|").alias("t")).first().t == text
+
+
 def test_selectors_and_inventory(spark):
     html = '<div class="x y">one</div><p class="answer-box y">two</p><script class="no-answer"></script>'
     df = spark.createDataFrame([(html,)], "html string")
