@@ -123,10 +123,15 @@ def x10_fallback(t: Tables):
     return t.pages.select("page_id", name.alias("selector"), text.alias("text"))
 
 
+CLASSED = "<[a-zA-Z][^>]*\\bclass=\"([^\"]*)\"[^>]*>([^<]*)"
+
+
 @query("x11_classes", f"""
-WITH c AS (SELECT page_id, unnest(list_distinct(flatten(list_transform(
-    regexp_extract_all(regexp_replace(html, '{HIDDEN}', '', 'g'), '<[a-zA-Z][^>]*\\bclass="([^"]*)"', 1), lambda v: string_split_regex(v, '{WS}'))))) AS class FROM pages)
-SELECT class, count(*) AS pages FROM c WHERE class <> '' AND regexp_matches(class, 'ad|nav|text') GROUP BY class
+WITH v AS (SELECT regexp_replace(html, '{HIDDEN}', '', 'g') AS h FROM pages),
+e AS (SELECT unnest(regexp_extract_all(h, '{CLASSED}', 1)) AS classes, unnest(regexp_extract_all(h, '{CLASSED}', 2)) AS inside FROM v),
+c AS (SELECT unnest(list_distinct(string_split_regex(classes, '{WS}'))) AS class, {text_sql('inside', "''")} AS text FROM e)
+SELECT class, count(*) AS elements, min(nullif(substr(text, 1, 60), '')) AS sample FROM c
+WHERE class <> '' AND regexp_matches(class, 'ad|nav|text') GROUP BY class
 """)
 def x11_classes(t: Tables):
     return S.class_inventory(t.pages, "html", ["ad", "nav", "text"])

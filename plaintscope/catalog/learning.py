@@ -98,18 +98,18 @@ def m10_roc(t: Tables):
     return D.roc_curve(_predicted(t), "lang", "n_chars", F.col("quality") == 1)
 
 
+# Languages by model; only model `toxic` has results, the other shows 0.
 @query("j6_matrix", CELLS + """
-, g AS (SELECT lang, role FROM (SELECT DISTINCT lang FROM documents), (SELECT DISTINCT role FROM conversations))
-SELECT lang, role, coalesce(round_even(accuracy, 6), 0) AS accuracy, coalesce(round_even(f1, 6), 0) AS f1
-FROM g LEFT JOIN (SELECT lang, 'user' AS role, accuracy, f1 FROM m) USING (lang, role)
+, g AS (SELECT lang, model FROM (SELECT DISTINCT lang FROM documents), (VALUES ('toxic'), ('untrained')) v(model))
+SELECT lang, model, coalesce(round_even(accuracy, 6), 0) AS accuracy, coalesce(round_even(f1, 6), 0) AS f1
+FROM g LEFT JOIN (SELECT lang, 'toxic' AS model, accuracy, f1 FROM m) USING (lang, model)
 """)
 def j6_matrix(t: Tables):
-    # Languages by role: only role user has results, every other combination shows 0.
-    m = V.metrics(_predicted(t), "lang", "quality", "toxic")
-    roles = sorted(r.role for r in t.conversations.select("role").distinct().limit(10).collect())
-    combos = t.documents.select("lang").distinct().select("lang", F.explode(F.array(*[F.lit(r) for r in roles])).alias("role"))
-    w = V.metric_matrix(m.withColumn("role", F.lit("user")), ["lang", "role"], ["accuracy", "f1"], combos)
-    return w.select("lang", "role", r6("accuracy").alias("accuracy"), r6("f1").alias("f1"))
+    m = V.metrics(_predicted(t), "lang", "quality", "toxic").withColumn("model", F.lit("toxic"))
+    models = F.explode(F.array(F.lit("toxic"), F.lit("untrained"))).alias("model")
+    combos = t.documents.select("lang").distinct().select("lang", models)
+    w = V.metric_matrix(m, ["lang", "model"], ["accuracy", "f1"], combos)
+    return w.select("lang", "model", r6("accuracy").alias("accuracy"), r6("f1").alias("f1"))
 
 
 @query("m15_matrix", CELLS + """

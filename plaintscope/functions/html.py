@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column, functions as F
 
 from plaintscope.functions import fixed_values as fv
-from plaintscope.functions.text import WS, evaluate_once, strip
+from plaintscope.functions.text import evaluate_once, strip
 
 _HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
 _TAG = r"<[^>]*>"
@@ -149,9 +149,11 @@ def first_match(html: Column | str, selectors: list[tuple[str, str, str | None]]
     return won["name"], won["text"]
 
 
-def class_names(html: Column | str, words: list[str]) -> Column:
-    """Distinct class names on the page that contain one of the words."""
-    values = F.regexp_extract_all(visible(html), F.lit(r"<[a-zA-Z][^>]*\bclass=\"([^\"]*)\""), F.lit(1))
-    names = F.array_distinct(F.flatten(F.transform(values, lambda v: F.split(v, WS))))
-    wanted = "|".join(re.escape(w) for w in words)
-    return F.filter(names, lambda n: (n != "") & n.rlike(wanted))
+def classed_elements(html: Column | str) -> Column:
+    """(classes, text) of every start tag with a class: the attribute and the text right after."""
+    def build(page: Column) -> Column:
+        pattern = r"<[a-zA-Z][^>]*\bclass=\"([^\"]*)\"[^>]*>([^<]*)"
+        classes, texts = (F.regexp_extract_all(page, F.lit(pattern), F.lit(i)) for i in (1, 2))
+        return F.zip_with(classes, texts, lambda c, t: F.struct(c.alias("classes"), strip(decode_entities(t)).alias("text")))
+
+    return evaluate_once(visible(html), build)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plaintscope.functions import fixed_values as fv
 from plaintscope.functions import html as H
 from plaintscope.functions.dates import parse_tr_date
 from plaintscope.functions.scalars import absolute_url, resolution_status, safe_double, safe_int
-from plaintscope.functions.text import strip
+from plaintscope.functions.text import WS, strip
 
 
 def explode_blocks(pages: DataFrame, html: str, tag: str, cls: str | None = None, keep: list[str] = ()) -> DataFrame:
@@ -18,18 +20,21 @@ def explode_blocks(pages: DataFrame, html: str, tag: str, cls: str | None = None
 
 def list_cards(pages: DataFrame, html: str, operator: str, root: str, today: Column, keep: list[str] = ()) -> DataFrame:
     """Complaint cards of list pages as typed rows."""
-    cards = explode_blocks(pages, html, "article", fv.CARD, keep=[operator, *keep])
-    head = H.first_inner("block", "h2", fv.CARD_TITLE)
+    blocks = explode_blocks(pages, html, "article", fv.CARD, keep=[operator, *keep])
+    cards = blocks.select(
+        "*",
+        H.first_inner("block", "h2", fv.CARD_TITLE).alias("__head"),
+        H.strip_elements("block", "span", fv.CARD_PREVIEW_NOISE).alias("__preview"),
+    )
+    head, preview = F.col("__head"), F.col("__preview")
     linked = head.rlike(H.opening("a"))
-    preview = H.strip_elements("block", "span", fv.CARD_PREVIEW_NOISE)
     when = H.extract_text("block", "div", fv.CARD_TIME)
-    return cards.select(
+    fields = cards.select(
         *keep,
         "pos",
         F.col(operator).alias("operator"),
         strip(H.extract_attr("block", "article", "data-id")).alias("id"),
         when.alias("date_raw"),
-        parse_tr_date(when, today).alias("date"),
         H.extract_text("block", "span", fv.CARD_USER).alias("username"),
         F.when(linked, H.extract_text(head, "a")).otherwise(F.coalesce(H.html_to_text(head), F.lit(""))).alias("title"),
         H.extract_tags("block", "a", fv.CARD_KEYWORD).alias("keywords"),
@@ -40,8 +45,9 @@ def list_cards(pages: DataFrame, html: str, operator: str, root: str, today: Col
         ).alias("description_preview"),
         safe_int(H.extract_text("block", "span", fv.CARD_VIEWS, exact=False)).alias("view_count"),
         safe_int(H.extract_attr("block", "article", "data-upvoter-count")).alias("upvote_count"),
-        absolute_url(F.when(linked, H.extract_attr(head, "a", "href")), root).alias("url"),
+        F.when(linked, H.extract_attr(head, "a", "href")).alias("url"),
     )
+    return fields.withColumns({"date": parse_tr_date("date_raw", today), "url": absolute_url("url", root)})
 
 
 def detail_fields(pages: DataFrame, html: str, url: str) -> DataFrame:
@@ -72,9 +78,10 @@ DETAIL_DEFAULTS = {"full_text": "", "company_reply": "", "is_resolved": fv.UNKNO
 
 
 def class_inventory(pages: DataFrame, html: str, words: list[str]) -> DataFrame:
-    """Pages per class name that contains one of the words."""
-    return (
-        pages.select(F.explode(H.class_names(html, words)).alias("class"))
-        .groupBy("class")
-        .agg(F.count(F.lit(1)).alias("pages"))
-    )
+    """(class, elements, sample): class names that contain one of the words, how many
+    elements carry them, and the start of a text directly inside one."""
+    found = pages.select(F.explode(H.classed_elements(html)).alias("e"))
+    named = found.select(F.explode(F.array_distinct(F.split("e.classes", WS))).alias("class"), F.col("e.text").alias("text"))
+    wanted = (F.col("class") != "") & F.col("class").rlike("|".join(re.escape(w) for w in words))
+    sample = F.min(F.nullif(F.substring("text", 1, 60), F.lit("")))
+    return named.filter(wanted).groupBy("class").agg(F.count(F.lit(1)).alias("elements"), sample.alias("sample"))

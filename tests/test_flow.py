@@ -61,7 +61,7 @@ def test_selectors_and_inventory(spark):
     df = spark.createDataFrame([(html,)], "html string")
     name, text = H.first_match("html", [("a", "div", "answer"), ("b", "div", "y"), ("c", "p", None)])
     assert df.select(name.alias("n"), text.alias("t")).first() == ("b", "one")
-    assert {(r["class"], r.pages) for r in S.class_inventory(df, "html", ["answer", "y"]).collect()} == {("y", 1), ("answer-box", 1)}
+    assert {tuple(r) for r in S.class_inventory(df, "html", ["answer", "y"]).collect()} == {("y", 2, "one"), ("answer-box", 1, "two")}
 
 
 def test_categories(spark):
