@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from plaintscope.catalog import Tables, query, r6
 from plaintscope.functions import text as X
@@ -150,3 +152,10 @@ def m13_features(t: Tables):
             top = M.feature_top(model, fitted.terms).withColumns({"group_key": F.lit(fitted.group), "model": F.lit(name)})
             rows = top if rows is None else rows.unionByName(top)
     return rows
+
+
+# Labels and scores of the held-out rows: probability of class 1, or the margin.
+@query("m6_score")
+def m6_score(t: Tables):
+    rows = [p for fitted in _grid(t, trees=5, depth=4, folds=0, max_iter=50) for p in fitted.predictions]
+    return reduce(DataFrame.unionByName, rows).withColumn("score", r6("score"))

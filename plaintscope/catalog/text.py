@@ -148,15 +148,27 @@ def f14_clean(t: Tables):
     return t.texts().select("doc_id", X.clean_text("text", STOPS).alias("v"))
 
 
-@query("p5_stops", f"""
+STOPPED = f"""
 WITH w AS (SELECT doc_id, {tokens_sql('text', stops=False)} AS l FROM documents)
 SELECT doc_id, array_to_string(list_filter(l, lambda x: x NOT IN ({STOP_LIST})), ' ') AS v FROM w
-""")
-def p5_stops(t: Tables):
-    # The stop words as a table, anti-joined.
+"""
+
+
+def _stopped(t: Tables, **options):
     docs = t.texts().select("doc_id", X.word_tokens("text").alias("tokens"))
     stops = K.build_stopwords({"fixed": STOPS}, t.spark)
-    return K.drop_tokens(docs, "doc_id", "tokens", stops).select("doc_id", X.join_tokens("tokens").alias("v"))
+    return K.drop_tokens(docs, "doc_id", "tokens", stops, **options).select("doc_id", X.join_tokens("tokens").alias("v"))
+
+
+@query("p5_stops", STOPPED)
+def p5_stops(t: Tables):
+    return _stopped(t)
+
+
+# The way taken by stop tables too large to list: explode, anti-join, put back in order.
+@query("j2_stop_join", STOPPED)
+def j2_stop_join(t: Tables):
+    return _stopped(t, max_listed=0)
 
 
 @query("p3_min_len", f"""

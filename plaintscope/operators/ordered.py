@@ -143,11 +143,11 @@ def top_per_group(
 
     Up to 1,000 Spark itself keeps only n rows per map task before the shuffle
     (window group limit). For larger n a first round ranks inside hashed slices of the
-    group, by the columns in `spread`, so one task never sorts a whole hot group.
+    group, by the columns in `spread` or all of them, so one task never sorts a whole hot group.
     """
     groups = cols(groups)
     if n > 1000:
-        sliced = df.withColumn("__slice", F.pmod(F.xxhash64(*spread), F.lit(256)))
+        sliced = df.withColumn("__slice", F.pmod(F.xxhash64(*(spread or df.columns)), F.lit(256)))
         w = Window.partitionBy(*groups, "__slice").orderBy(*order)
         df = sliced.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).drop("__slice", "rank")
     w = Window.partitionBy(*groups).orderBy(*order)

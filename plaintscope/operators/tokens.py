@@ -6,11 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.ml.feature import StopWordsRemover
 
 from plaintscope.functions import fixed_values as fv
-from plaintscope.functions.text import strip
+from plaintscope.functions.text import remove_stops, strip
 from plaintscope.operators.ordered import top_per_group
 from plaintscope.session import cols, small_side, stage
 
 
+# Stop tables up to this size are used as a set of literals.
+LISTED_TERMS = 5_000
+
+
 def _rewrite(df: DataFrame, key: str, tokens: str, change) -> DataFrame:
     """Explode token arrays, let `change` filter or rename `token`, put them back in order.
 
@@ -33,9 +37,19 @@ def _rewrite(df: DataFrame, key: str, tokens: str, change) -> DataFrame:
     return back.select(*[c if c in (key, tokens) else f"rest.{c}" for c in df.columns])
 
 
-def drop_tokens(df: DataFrame, key: str, tokens: str, stops: DataFrame, term: str = "term") -> DataFrame:
-    """Remove stop words held in a table of any size; repeats of other tokens stay."""
-    lookup = small_side(stage(stops.select(F.col(term).alias("token")).distinct()))
+def drop_tokens(
+    df: DataFrame, key: str, tokens: str, stops: DataFrame, term: str = "term", max_listed: int = LISTED_TERMS
+) -> DataFrame:
+    """Remove stop words held in a table of any size; repeats of other tokens stay.
+
+    A table of up to `max_listed` terms becomes a set inside the expression and no text
+    moves. A larger one is anti-joined.
+    """
+    terms = stage(stops.select(F.col(term).alias("token")).distinct())
+    listed = terms.limit(max_listed + 1).collect()
+    if len(listed) <= max_listed:
+        return df.withColumn(tokens, remove_stops(tokens, [r.token for r in listed if r.token is not None]))
+    lookup = small_side(terms)
     return _rewrite(df, key, tokens, lambda long: long.join(lookup, "token", "left_anti"))
 
 
