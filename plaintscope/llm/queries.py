@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plaintscope.llm import byte_bpe, decontamination, quality_rules
-from plaintscope.llm.queries_sql import OP1_SQL, OP2_SQL
+from plaintscope.llm import byte_bpe, chat_format, decontamination, quality_rules, token_counts, url_filter
+from plaintscope.llm.queries_sql import OP1_SQL, OP2_SQL, OP4_SQL, OP10_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,3 +51,25 @@ def op3(spark, folder):
     ranks = byte_bpe.share_ranks(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
     encoded = byte_bpe.with_ids(table(spark, folder, "documents", "doc_id", "text"), ranks)
     return byte_bpe.digests(byte_bpe.with_bytes(encoded, ranks))
+
+
+@query("op4_chat_format", OP4_SQL)
+def op4(spark, folder):
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, folder, "conversations", *extra.columns).unionByName(extra)
+    return chat_format.digests(chat_format.format_conversations(turns))
+
+
+@query("op5_token_counts")
+def op5(spark, folder):
+    model = token_counts.share_model(spark, public_tokenizers.path("piece_bpe_32k.model"))
+    counted = token_counts.with_token_counts(table(spark, folder, "documents", "doc_id", "text"), model)
+    m = F.col("counted")
+    return counted.select("doc_id", *[m[c].alias(c) for c in ("n_bytes", "n_tokens", "over_limit")])
+
+
+@query("op10_url_filter", OP10_SQL)
+def op10(spark, folder):
+    judged = url_filter.with_verdict(table(spark, folder, "pages", "page_id", "url"))
+    return judged.select("page_id", "judged.*")

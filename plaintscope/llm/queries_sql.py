@@ -64,3 +64,48 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
        sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM lowered LEFT JOIN marked USING (r) LEFT JOIN named USING (r)
 """
+
+# A turn is escaped if it holds a closing mark, an already escaped mark, or (in a role) the text mark.
+OP4_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+marked AS (
+  SELECT *, CASE WHEN role IN ('user', 'assistant') THEN text ELSE role || text END AS said,
+         CASE role WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE 19 END AS around
+  FROM turns),
+sized AS (
+  SELECT *, length(said) + around +
+    CASE WHEN regexp_matches(said, '\[/INST\]|</s>|\[/ROLE\]|(\[/?|</?)\\+(INST\]|ROLE\]|TEXT\]|s>)')
+           OR (role NOT IN ('user', 'assistant') AND contains(role, '[TEXT]'))
+         THEN len(regexp_extract_all(said, '(\[/?|</?)\\*(INST\]|ROLE\]|TEXT\]|s>)')) ELSE 0 END AS size
+  FROM marked)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(size) AS BIGINT) AS formatted_chars, TRUE AS exact
+FROM sized GROUP BY conv_id
+"""
+
+OP10_SQL = r"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*(/[^?#]*)?', 1) AS path
+  FROM cut),
+ruled AS (
+  SELECT page_id, parts.host, parts.path,
+         max_by({verdict: rules.verdict, host: rules.host, path: rules.path}, length(rules.host || rules.path)) AS best
+  FROM parts LEFT JOIN (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+                               ('block', 'net', '/es/'), ('block', 'net', '/fr/')) AS rules(verdict, host, path)
+    ON (parts.host = rules.host OR ends_with(parts.host, '.' || rules.host)) AND starts_with(parts.path, rules.path)
+  GROUP BY page_id, parts.host, parts.path)
+SELECT page_id, host, path, best.host || best.path AS rule,
+       coalesce(best.verdict, CASE WHEN regexp_matches(host || path,
+         '^([^/]*\.)?(adult-[^/]*|cheap-pills\.[^/]*)/|^[^/]*(casino|porn)[^/]*/|/(wp-login|phpmyadmin)[^/]*$|\.(exe|zip)$')
+         THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled
+"""
