@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plaintscope.llm import byte_bpe, chat_format, decontamination, quality_rules, token_counts, url_filter
+from plaintscope.llm import byte_bpe, chat_format, decontamination, quality_classifier, quality_rules, token_counts, url_filter
 from plaintscope.llm.queries_sql import OP1_SQL, OP2_SQL, OP4_SQL, OP10_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,10 @@ def op5(spark, folder):
 def op10(spark, folder):
     judged = url_filter.with_verdict(table(spark, folder, "pages", "page_id", "url"))
     return judged.select("page_id", "judged.*")
+
+
+@query("op8_quality_classifier")
+def op8(spark, folder):
+    scored = quality_classifier.with_quality(
+        table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "labels", "doc_id", "quality"))
+    return scored.select("doc_id", "quality.*")
