@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plaintscope.llm import byte_bpe, chat_format, decontamination, quality_classifier, quality_rules, token_counts, url_filter
+from plaintscope.llm import byte_bpe, chat_format, decontamination, quality_classifier, quality_rules, token_counts, token_files, url_filter
 from plaintscope.llm.queries_sql import OP1_SQL, OP2_SQL, OP4_SQL, OP10_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,11 @@ def op8(spark, folder):
     scored = quality_classifier.with_quality(
         table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "labels", "doc_id", "quality"))
     return scored.select("doc_id", "quality.*")
+
+
+@query("op7_token_files")
+def op7(spark, folder):
+    tokenizer = token_files.share_tokenizer(spark, public_tokenizers.path("word_bpe_49k.json"))
+    path = token_files.new_folder(spark)
+    token_files.write_ids(table(spark, folder, "documents", "doc_id", "text"), tokenizer, path, end_id=1)
+    return token_files.digests(spark, path)
