@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import heapq
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,7 @@ STATES = 9
 NEW_TEXT, A_LETTER, A_NUMBER, AN_OTHER, QUOTE_1, QUOTE_2, WHITE_IN, WHITE_LAST, BLANK_IN, BLANK_LAST = range(10)
 SYMBOLS = 10
 BLOCK = 256
+NEVER = 1 << 31  # rank of a pair that is no token
 
 
 def classes() -> np.ndarray:
@@ -172,7 +174,7 @@ class Bpe:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.cache: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+        self.forget()
         size = max(ranks.values()) + 1
         tokens = [b""] * size
         for token, k in ranks.items():
@@ -181,6 +183,23 @@ class Bpe:
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
 
+    def forget(self) -> None:
+        """Cache of merged pieces: number of each, and for each number where its ids begin."""
+        self.cache: dict[bytes, int] = {}
+        self.begin, self.cached_ids, self.cached_ends = array("q", [0]), array("i"), array("i")
+
+    def number(self, piece: bytes) -> int:
+        known = self.cache.get(piece)
+        if known is None:
+            known, end = len(self.cache), 0
+            for part in self.merge(piece):
+                end += len(part)
+                self.cached_ids.append(self.ranks[part])
+                self.cached_ends.append(end)
+            self.begin.append(len(self.cached_ids))
+            self.cache[piece] = known
+        return known
+
     def merge(self, piece: bytes) -> list[bytes]:
         """Parts after joining the pair of lowest rank, leftmost first, until none is left."""
         if piece in self.ranks:
@@ -189,20 +208,16 @@ class Bpe:
         if len(piece) > 64:
             return self.merge_long(piece)
         parts = [piece[k:k + 1] for k in range(len(piece))]
-        scores = [ranks.get(a + b) for a, b in zip(parts, parts[1:])]
-        while True:
-            best, at = None, -1
-            for k, score in enumerate(scores):
-                if score is not None and (best is None or score < best):
-                    best, at = score, k
-            if best is None:
-                return parts
+        scores = [ranks.get(a + b, NEVER) for a, b in zip(parts, parts[1:])]
+        while scores and (best := min(scores)) < NEVER:
+            at = scores.index(best)
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
             del scores[at]
             if at:
-                scores[at - 1] = ranks.get(parts[at - 1] + parts[at])
+                scores[at - 1] = ranks.get(parts[at - 1] + parts[at], NEVER)
             if at < len(scores):
-                scores[at] = ranks.get(parts[at] + parts[at + 1])
+                scores[at] = ranks.get(parts[at] + parts[at + 1], NEVER)
+        return parts
 
     def merge_long(self, piece: bytes) -> list[bytes]:
         """The same with a heap and neighbour links, for pieces of any length."""
@@ -240,25 +255,16 @@ class Bpe:
         column = pa.LargeBinaryArray.from_buffers(
             pa.large_binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
         if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
-        cache, rows, ends = self.cache, [], []
-        for piece in column.dictionary.to_pylist():
-            merged = cache.get(piece)
-            if merged is None:
-                parts = self.merge(piece)
-                merged = (np.array([self.ranks[p] for p in parts], np.int32), np.cumsum([len(p) for p in parts], dtype=np.int32))
-                cache[piece] = merged
-            rows.append(merged[0])
-            ends.append(merged[1])
-        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-        rows, ends = np.concatenate(rows), np.concatenate(ends)
-        which = column.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        count = sizes[which]
-        pick = runs(np.cumsum(sizes)[which] - count, count)
+            self.forget()
+        numbers = np.fromiter(map(self.number, column.dictionary.to_pylist()), np.int64, len(column.dictionary))
+        which = numbers[column.indices.to_numpy(zero_copy_only=False)]
+        begin = np.array(self.begin)
+        count = begin[which + 1] - begin[which]
+        pick = runs(begin[which], count)
         piece_of_text = np.searchsorted(starts, offsets)
         local = starts - np.repeat(offsets[:-1], np.diff(piece_of_text))
         total = np.concatenate(([0], np.cumsum(count)))
-        return np.diff(total[piece_of_text]), rows[pick], ends[pick] + np.repeat(local, count).astype(np.int32)
+        return np.diff(total[piece_of_text]), np.array(self.cached_ids)[pick], np.array(self.cached_ends)[pick] + np.repeat(local, count).astype(np.int32)
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         return self.bytes[runs(self.starts[ids], self.lengths[ids])]
