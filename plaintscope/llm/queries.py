@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plaintscope.llm import byte_bpe, chat_format, decontamination, quality_classifier, quality_rules, token_counts, token_files, url_filter
+from plaintscope.llm import byte_bpe, chat_format, decontamination, gru_lm, quality_classifier, quality_rules, token_counts, token_files, url_filter
 from plaintscope.llm.queries_sql import OP1_SQL, OP2_SQL, OP4_SQL, OP10_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,8 @@ def op7(spark, folder):
     path = token_files.new_folder(spark)
     token_files.write_ids(table(spark, folder, "documents", "doc_id", "text"), tokenizer, path, end_id=1)
     return token_files.digests(spark, path)
+
+
+@query("op9_gru_lm")
+def op9(spark, folder):
+    return gru_lm.log_likelihood(table(spark, folder, "documents", "doc_id", "text"))
