@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 # Bytes that end a word: white space as in [\x20\x09-\x0D].
 SPACED = np.ones(256, np.bool_)
