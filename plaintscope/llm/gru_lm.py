@@ -35,7 +35,7 @@ BATCH = 96              # texts trained side by side
 ROUNDS = 2              # training rounds ...
 ROUND_SHARE = 8         # ... each over one training text in so many (another one each round)
 RATE = 0.01
-PIECE_BYTES = 16 << 20
+PIECE_BYTES = 8 << 20   # of texts scored side by side
 COUNT_ROWS = 1 << 20    # counts a task holds before it hands them to Spark
 
 END = np.uint64(mix(np.array([0x656E64], np.uint64))[0])  # the value of the end token
@@ -48,10 +48,13 @@ def held_out(key: Column) -> Column:
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """64-bit values of all tokens, each text's words and then one end, and the texts' offsets."""
-    data, offsets = flat(texts)
-    words = Words(LOWER[data], offsets, SPACED)
-    value = words.values()
-    return np.insert(value, words.first[1:], END), words.first + np.arange(len(texts) + 1)
+    values, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for start, stop in pieces(texts):
+        data, offsets = flat(texts.slice(start, stop - start))
+        words = Words(LOWER[data], offsets, SPACED)
+        values.append(np.insert(words.values(), words.first[1:], END))
+        sizes.append(words.per_text + 1)
+    return np.concatenate(values), np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
 
 
 def count_tokens(docs: DataFrame, text: str) -> DataFrame:
@@ -344,10 +347,14 @@ def score_piece(texts: pa.Array, head: Head, model: Gru) -> pa.RecordBatch:
         states, state, _ = model.run(x, state)
         column = np.broadcast_to(np.arange(len(chosen)), live.shape)[live]
         total[chosen] += np.bincount(column, model.log_probabilities(states[live], y[live]), len(chosen))
-    key, many = np.unique(np.stack((text[~known].astype(np.uint64), value[~known])), axis=1, return_counts=True) if (~known).any() else (
-        np.zeros((2, 0), np.uint64), np.zeros(0, np.int64))
-    rest = pa.StructArray.from_arrays([pa.array(key[1].view(np.int64)), pa.array(many.astype(np.int64))], ["value", "n"])
-    sizes = np.bincount(key[0].astype(np.int64), minlength=n)
+    owner, other = text[~known], value[~known]
+    order = np.lexsort((other, owner))
+    owner, other = owner[order], other[order]
+    new = np.ones(len(owner), np.bool_)
+    new[1:] = (owner[1:] != owner[:-1]) | (other[1:] != other[:-1])
+    at = np.flatnonzero(new)
+    rest = pa.StructArray.from_arrays([pa.array(other[at].view(np.int64)), pa.array(np.diff(np.append(at, len(owner))))], ["value", "n"])
+    sizes = np.bincount(owner[at], minlength=n)
     return pa.RecordBatch.from_arrays([
         pa.array(np.diff(offsets)), pa.array(np.bincount(text, known, n).astype(np.int64)), pa.array(base), pa.array(total),
         pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), rest),
