@@ -39,7 +39,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document with digests of ids and decoded bytes."""
     ranks = byte_bpe.share_ranks(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return byte_bpe.digests(byte_bpe.with_bytes(byte_bpe.with_ids(docs, ranks), ranks))
+    return byte_bpe.digests(byte_bpe.with_round_trip(docs, ranks))
 
 
 STAGES = [

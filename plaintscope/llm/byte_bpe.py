@@ -24,9 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plaintscope.llm.textarrays import flat, lists, pieces, with_result
+from plaintscope.llm.textarrays import flat, lists, text_udf, with_result
 
-CACHE_PIECES = 1_000_000  # merged pieces a worker remembers before it starts anew
+CACHE_PIECES = 400_000  # merged pieces a worker remembers before it starts anew
 VOCABULARY_BYTES = 64 << 20
 
 # Code points of the Unicode property White_Space.
@@ -302,6 +302,30 @@ def model_of(shared) -> Bpe:
     return _MODELS[hash(raw)]
 
 
+def encode_texts(texts: pa.Array, bpe: Bpe) -> list[pa.Array]:
+    """Lists of ids and of end positions."""
+    counts, ids, ends = bpe.encode(*flat(texts))
+    return [lists(counts, pa.array(ids)), lists(counts, pa.array(ends))]
+
+
+def decode_lists(id_lists: pa.Array, end_lists: pa.Array, bpe: Bpe) -> pa.Array:
+    """Bytes of each list of ids. The kept end positions say how many bytes each id fills; ids
+    that do not fill them raise an error."""
+    counts = np.diff(id_lists.offsets.to_numpy())
+    tokens = id_lists.flatten().to_numpy(zero_copy_only=False)
+    stops = end_lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    last = np.cumsum(counts)
+    begin = np.concatenate(([0], stops[:-1]))[:len(stops)]
+    begin[(last - counts)[counts > 0]] = 0
+    if len(stops) != len(tokens) or not np.array_equal(stops - begin, bpe.lengths[tokens]):
+        raise ValueError("ids and end offsets do not belong together")
+    size = np.zeros(len(counts), np.int64)
+    size[counts > 0] = stops[last[counts > 0] - 1]
+    at = np.concatenate(([0], np.cumsum(size)))
+    return pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(counts), [None, pa.py_buffer(at), pa.py_buffer(bpe.decode(tokens))]).cast(pa.binary())
+
+
 def with_ids(docs: DataFrame, ranks, text: str = "text", out: str = "encoded") -> DataFrame:
     """`docs` plus struct(ids array<int>, ends array<int>): the ids of each whole text without
     special tokens, and the byte position in the text at which each id ends.
@@ -310,46 +334,41 @@ def with_ids(docs: DataFrame, ranks, text: str = "text", out: str = "encoded") -
     row is encoded for itself; an empty table gives an empty one; an input column called as
     `out` is replaced.
     """
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.StructArray.from_arrays(encode_texts(texts, model_of(ranks)), ["ids", "ends"])
+
+    return with_result(docs, out, text_udf(run, "struct<ids:array<int>, ends:array<int>>")(F.col(text)))
+
+
+def with_round_trip(docs: DataFrame, ranks, text: str = "text", out: str = "encoded") -> DataFrame:
+    """As `with_ids`, and in the same pass over each piece of text the bytes that the ids decode
+    to, as a third field `decoded`."""
+    def run(texts: pa.Array) -> pa.Array:
         bpe = model_of(ranks)
-        for texts in batches:
-            for start, stop in pieces(texts):
-                counts, ids, ends = bpe.encode(*flat(texts.slice(start, stop - start)))
-                yield pa.StructArray.from_arrays([lists(counts, pa.array(ids)), lists(counts, pa.array(ends))], ["ids", "ends"])
+        ids, ends = encode_texts(texts, bpe)
+        return pa.StructArray.from_arrays([ids, ends, decode_lists(ids, ends, bpe)], ["ids", "ends", "decoded"])
 
-    return with_result(docs, out, F.arrow_udf(run, "struct<ids:array<int>, ends:array<int>>").asNondeterministic()(F.col(text)))
+    return with_result(docs, out, text_udf(run, "struct<ids:array<int>, ends:array<int>, decoded:binary>")(F.col(text)))
 
 
 def with_bytes(encoded: DataFrame, ranks, ids: str = "encoded.ids", ends: str = "encoded.ends", out: str = "decoded") -> DataFrame:
-    """`encoded` plus the bytes of its ids. The kept end offsets give the place of every id's
-    bytes, and are checked against the vocabulary: ids that do not fill them raise an error.
+    """`encoded` plus the bytes of its stored ids and end offsets (see `decode_lists`).
     Null ids decode to no bytes; an input column called as `out` is replaced.
     """
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         bpe = model_of(ranks)
         for id_lists, end_lists in batches:
-            counts = np.diff(id_lists.offsets.to_numpy())
-            row = np.repeat(np.arange(len(counts)), counts)
-            tokens = id_lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            stops = end_lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            begin = np.concatenate(([0], stops[:-1]))
-            begin[np.flatnonzero(np.diff(row, prepend=-1))] = 0
-            if not np.array_equal(stops - begin, bpe.lengths[tokens]):
-                raise ValueError("ids and end offsets do not belong together")
-            last = np.cumsum(counts)
-            size = np.where(counts > 0, stops[np.maximum(last, 1) - 1], 0) if len(stops) else np.zeros(len(counts), np.int64)
-            at = np.concatenate(([0], np.cumsum(size)))
-            yield pa.LargeBinaryArray.from_buffers(
-                pa.large_binary(), len(counts), [None, pa.py_buffer(at), pa.py_buffer(bpe.decode(tokens))]).cast(pa.binary())
+            for at in range(0, len(id_lists), 200):
+                yield decode_lists(id_lists.slice(at, 200), end_lists.slice(at, 200), bpe)
 
     blank = lambda c: F.coalesce(F.col(c), F.array().cast("array<int>"))
     return with_result(encoded, out, F.arrow_udf(run, "binary").asNondeterministic()(blank(ids), blank(ends)))
 
 
-def digests(decoded: DataFrame, key: str = "doc_id", encoded: str = "encoded", out: str = "decoded") -> DataFrame:
-    """Per row: number of ids, digest of the decimal ids joined by a space, digest of the decoded bytes."""
-    ids = F.col(encoded)["ids"]
-    return decoded.select(
+def digests(encoded: DataFrame, key: str = "doc_id", column: str = "encoded") -> DataFrame:
+    """Per row of `with_round_trip`: number of ids, digest of the decimal ids joined by a space, digest of the decoded bytes."""
+    ids = F.col(column)["ids"]
+    return encoded.select(
         key, F.size(ids).cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(ids.cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2(F.col(out), 256).alias("decoded_sha256"))
+        F.sha2(F.col(column)["decoded"], 256).alias("decoded_sha256"))

@@ -49,8 +49,7 @@ def op2(spark, folder):
 @query("op3_byte_bpe")
 def op3(spark, folder):
     ranks = byte_bpe.share_ranks(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    encoded = byte_bpe.with_ids(table(spark, folder, "documents", "doc_id", "text"), ranks)
-    return byte_bpe.digests(byte_bpe.with_bytes(encoded, ranks))
+    return byte_bpe.digests(byte_bpe.with_round_trip(table(spark, folder, "documents", "doc_id", "text"), ranks))
 
 
 @query("op4_chat_format", OP4_SQL)

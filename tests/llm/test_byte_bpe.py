@@ -1,4 +1,4 @@
-import base64
+import hashlib
 
 import numpy as np
 import public_tokenizers
@@ -72,7 +72,8 @@ def test_frame_cases(spark):
         assert list(got[key].encoded.ids) == THEIRS.encode_ordinary(text or "")
         assert bytes(got[key].decoded) == (text or "").encode()
     assert byte_bpe.with_ids(docs.limit(0), shared).count() == 0
-    digest = {r.doc_id: r for r in byte_bpe.digests(done).collect()}
+    digest = {r.doc_id: r for r in byte_bpe.digests(byte_bpe.with_round_trip(docs, shared)).collect()}
+    assert all(digest[k].decoded_sha256 == hashlib.sha256((t or '').encode()).hexdigest() for k, t, _ in rows)
     assert digest[2].n_tokens == 0 and digest[1].ids_sha256 == digest[2].ids_sha256
 
 

@@ -37,7 +37,7 @@ def test_all_hard_texts_in_all_roles(spark):
     check(spark, rows)
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(0, 5), st.integers(0, 9), st.sampled_from(ROLES),
                           st.lists(st.sampled_from([*"[]</>\\s", "INST]", "[/INST]", "</s>", "ROLE]", "TEXT]"]), max_size=8).map("".join)), min_size=1, max_size=40))
 def test_any_mix_of_marks(spark, rows):

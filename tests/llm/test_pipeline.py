@@ -1,16 +1,22 @@
+import re
 import zlib
+from collections import Counter
 
 
 import corpus_pipeline
 import test_byte_bpe as bpe
 import test_decontamination as dc
 import test_jaccard_join as jj
-import test_quality_rules as qr
 
 
 def ok(text):
-    m = qr.brute(text, 8)
-    return not (m["n_words"] < 50 or 100 * m["n_repeat_words"] > 50 * m["n_words"] or 100 * m["covered_words"] > 30 * m["n_words"] or m["longest_repeat"] > 100)
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+
+    def inside(k):
+        seen = Counter(tuple(w[i:i + k]) for i in range(len(w) - k + 1))
+        return len({p for i in range(len(w) - k + 1) if seen[tuple(w[i:i + k])] > 1 for p in range(i, i + k)})
+
+    return not (len(w) < 50 or 100 * inside(3) > 50 * len(w) or 100 * inside(8) > 30 * len(w) or inside(101))
 
 
 def test_stages_against_brute_force(spark, small, tmp_path):
