@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -43,26 +44,75 @@ MAGIC = b"IDZ1"
 HEAD = struct.Struct("<4sB32sQ")
 
 
+WORD_END = "</w>"
+# Between a letter and a mark, which this tokenizer's pattern always parts. Not before the
+# quote, which may begin a contraction, nor the characters of special tokens.
+MARK_AFTER_LETTER = re.compile(r"(?<=[a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff])(?=[!-&(-/:;=?@\[-`{}~])")
+
+
 class WordCoder:
     """Packed ids of texts. Blanks and line feeds end words for this tokenizer whatever stands
-    around them, so the library encodes each distinct word once and the parts are joined."""
+    around them, so the library encodes each distinct word once and the parts are joined.
+
+    A Latin-1 text without special tokens is first lower-cased, as the library would, and gets
+    a blank between letters and marks, which changes none of its ids but leaves fewer distinct
+    words. A word of letters is one run, of which only the last token carries the word end:
+    many of them go to the library as one text and are told apart by it. Other words go alone.
+    """
 
     def __init__(self, raw: bytes):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         self.library = Tokenizer.from_str(raw.decode())
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype("<u2" if self.width == 2 else "<u4")
+        self.last = np.zeros(self.library.get_vocab_size() + 1, np.bool_)
+        self.last[[k for token, k in self.library.get_vocab().items() if token.endswith(WORD_END)]] = True
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # the cache before this one, so that common words stay
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        cache = self.cache
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = list({w for words in split for w in words if w not in cache})
-        for word, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            cache[word] = np.array(found.ids, self.kind).tobytes()
-        return [b"".join([cache[w] for w in words]) for words in split]
+            self.older, self.cache = self.cache, {}
+        split = [self.simpler(t or "").replace("\n", " ").split(" ") for t in texts]
+        self.learn([w for w in set().union(*split) if w not in self.cache])
+        get = self.cache.__getitem__
+        return [b"".join(map(get, words)) for words in split]
+
+    @staticmethod
+    def simpler(text: str) -> str:
+        if "<|" in text:
+            return text
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return text
+        return MARK_AFTER_LETTER.sub(" ", text.lower())
+
+    def learn(self, words: list[str]) -> None:
+        letters, others = [], []
+        for word in words:
+            if word in self.older:
+                self.cache[word] = self.older[word]
+            elif word.isalpha() and max(word) <= "\u00ff":
+                letters.append(word)
+            else:
+                others.append(word)
+        self.letters(letters)
+        for word, found in zip(others, self.library.encode_batch_fast(others, add_special_tokens=False)):
+            self.cache[word] = np.array(found.ids, self.kind).tobytes()
+
+    def letters(self, words: list[str], at_once: int = 500) -> None:
+        texts = [" ".join(words[k:k + at_once]) for k in range(0, len(words), at_once)]
+        at = 0
+        for found in self.library.encode_batch_fast(texts, add_special_tokens=False):
+            ids = np.array(found.ids, self.kind)
+            packed, ends = ids.tobytes(), ((np.flatnonzero(self.last[ids]) + 1) * self.width).tolist()
+            for start, stop in zip([0, *ends], ends):
+                self.cache[words[at]] = packed[start:stop]
+                at += 1
+        if at != len(words):
+            raise ValueError("this tokenizer does not mark the ends of words")
 
 
 _CODERS: dict[int, WordCoder] = {}

@@ -18,7 +18,7 @@ def whole(text):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.one_of(st.characters(codec="utf-8"), st.sampled_from([*" \n\t'seΣσ<|>", "\u0301", "\u00a0", "<|endoftext|>"])), max_size=40))
+@given(st.lists(st.one_of(st.characters(codec="utf-8"), st.sampled_from([*" \n\t'seΣσ<|>", "\u0301", "\u00a0", "<|endoftext|>", "<|ENDOFTEXT|>", "Word", "éÀ", "!!", ".", "1", "İ", "µªº"])), max_size=40))
 def test_words_by_themselves_give_the_ids_of_the_text(parts):
     text = "".join(parts)
     assert np.frombuffer(CODER.encode([text])[0], CODER.kind).tolist() == whole(text)
