@@ -324,9 +324,9 @@ s AS (SELECT lang, sum(c1)::DOUBLE AS n1, (sum(t) - sum(c1))::DOUBLE AS n0, sum(
 z AS (SELECT *, (greatest(u1, n1 * n0 - u1) - n1 * n0 / 2 - 0.5)
              / nullif(sqrt(n1 * n0 / 12 * ((n + 1) - ties / nullif(n * (n - 1), 0))), 0) AS z FROM s),
 x AS (SELECT *, z / sqrt(2.0) AS x, 1.0 / (1.0 + 0.3275911 * z / sqrt(2.0)) AS k FROM z),
-p AS (SELECT *, CASE WHEN z < 0 THEN 1.0 ELSE least(1.0, {ERFC}) END AS p FROM x)
+p AS (SELECT *, CASE WHEN z < 0 THEN 1.0 WHEN z IS NOT NULL THEN least(1.0, {ERFC}) END AS p FROM x)
 SELECT lang, n1::BIGINT AS n1, n0::BIGINT AS n0, u1::DOUBLE AS u1, round_even(z, 6) AS z, round_even(p, 6) AS p,
-       CASE WHEN p < 0.001 THEN 'p < 0.001' ELSE printf('p = %.3f', p) END AS label
+       CASE WHEN p < 0.001 THEN 'p < 0.001' WHEN p IS NOT NULL THEN printf('p = %.3f', p) END AS label
 FROM p
 """)
 def a25_mann_whitney(t: Tables):

@@ -157,7 +157,7 @@ SELECT doc_id, array_to_string(list_filter(l, lambda x: x NOT IN ({STOP_LIST})),
 def _stopped(t: Tables, **options):
     docs = t.texts().select("doc_id", X.word_tokens("text").alias("tokens"))
     stops = K.build_stopwords({"fixed": STOPS}, t.spark)
-    return K.drop_tokens(docs, "doc_id", "tokens", stops, **options).select("doc_id", X.join_tokens("tokens").alias("v"))
+    return K.drop_tokens(docs, "tokens", stops, **options).select("doc_id", X.join_tokens("tokens").alias("v"))
 
 
 @query("p5_stops", STOPPED)
@@ -206,7 +206,7 @@ def f15_stem_map(t: Tables):
     words = docs.select(F.explode("tokens").alias("token")).distinct()
     long = (F.length("token") > 5) & F.right("token", F.lit(3)).isin("ing", "ion", "ent")
     stems = words.filter(long).select("token", F.expr("left(token, length(token) - 3)").alias("stem"))
-    stemmed = K.apply_stems(docs, "doc_id", "tokens", stems)
+    stemmed = K.apply_stems(docs, "tokens", stems)
     return stemmed.select("doc_id", X.join_tokens(X.min_token_len("tokens")).alias("v"))
 
 

@@ -27,7 +27,7 @@ def skew_flag(skew: Column | str, limit: float = fv.SKEW_LIMIT) -> Column:
 
 
 def p_label(p: Column | str) -> Column:
-    return F.when(_c(p) < 0.001, "p < 0.001").otherwise(F.format_string("p = %.3f", _c(p)))
+    return F.when(_c(p) < 0.001, "p < 0.001").when(_c(p).isNotNull(), F.format_string("p = %.3f", _c(p)))
 
 
 def verdict(

@@ -95,7 +95,7 @@ def remove_stops(tokens: Column | str, stops: Sequence[str]) -> Column:
     words = sorted(set(stops))
     if not words:
         return _c(tokens)
-    return F.filter(_c(tokens), lambda t: ~t.isin(words))
+    return F.filter(_c(tokens), lambda t: t.isNull() | ~t.isin(words))
 
 
 def min_token_len(tokens: Column | str, longer_than: int = 2) -> Column:

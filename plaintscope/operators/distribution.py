@@ -192,7 +192,9 @@ def mann_whitney(
     z = (larger - n1 * n0 / 2 - 0.5) / F.nullif(F.sqrt(spread), F.lit(0.0))
     scored = sums.withColumn("z", z)
     # For z < 0 (only by the continuity correction) the two-sided p is above 1: cap it.
-    p = F.when(F.col("z") < 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), erfc(F.col("z") / F.sqrt(F.lit(2.0)))))
+    # Without one of the classes there is no z and no p.
+    p = F.when(F.col("z") < 0, F.lit(1.0)).when(
+        F.col("z").isNotNull(), F.least(F.lit(1.0), erfc(F.col("z") / F.sqrt(F.lit(2.0)))))
     return (
         scored.withColumn("p", p)
         .withColumn("label", p_label("p"))

@@ -62,9 +62,10 @@ def class_gap(df: DataFrame, groups: str | list[str], label: str, value: str) ->
 
 def null_panel(df: DataFrame, groups: str | list[str], columns: list[str]) -> DataFrame:
     """Long form: one row per group and column with its null count, share and band."""
-    groups = cols(groups)
+    groups, kinds = cols(groups), dict(df.dtypes)
+    missing = {c: F.isnan(c) | F.col(c).isNull() if kinds[c] in ("double", "float") else F.col(c).isNull() for c in columns}
     wide = df.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("total"), *[F.count_if(F.col(c).isNull()).alias(c) for c in columns]
+        F.count(F.lit(1)).alias("total"), *[F.count_if(missing[c]).alias(c) for c in columns]
     )
     long = wide.unpivot([*groups, "total"], columns, "column", "n_null")
     return long.withColumn("null_pct", F.lit(100.0) * F.col("n_null") / F.col("total")).withColumn(
@@ -133,6 +134,8 @@ def quality_precheck(df: DataFrame, groups: str | list[str], resolved: Column, s
 def score_distribution(df: DataFrame, groups: str | list[str], score: str, bounded_score: bool = True) -> DataFrame:
     """Count per score value, beside the group's median and null share."""
     groups = cols(groups)
+    if dict(df.dtypes)[score] in ("double", "float"):
+        df = df.withColumn(score, null_if_nan(F.col(score)))
     counts = df.groupBy(*groups, score).agg(F.count(F.lit(1)).alias("n"))
     per_group = df.groupBy(*groups).agg(rate(F.col(score).isNull()).alias("null_pct"))
     per_group = stage(_with_quantiles(per_group, df, groups, score, {"median": 0.5}, bounded_score))
@@ -146,8 +149,8 @@ def kpi_table(df: DataFrame, groups: str | list[str], resolved: Column, score: s
         F.count(F.lit(1)).alias("n"),
         rate(resolved).alias("resolved_pct"),
         F.avg(null_if_nan(F.col(score).cast("double"))).alias("mean_score"),
-        F.avg(words).alias("mean_words"),
-        F.avg(views).alias("mean_views"),
+        F.avg(null_if_nan(F.col(words).cast("double"))).alias("mean_words"),
+        F.avg(null_if_nan(F.col(views).cast("double"))).alias("mean_views"),
     )
     return _with_quantiles(base, df, groups, score, {"med_score": 0.5}, bounded_score)
 

@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plaintscope.functions.scalars import left_n, verdict
+from plaintscope.functions.scalars import clip_upper, left_n, verdict
 from plaintscope.operators import distribution as D, profile as P
 
 # What each hypothesis row states.
@@ -18,8 +18,6 @@ STATEMENTS = {
     "H4": "complaint volume has a trend",
     "H5": "resolved complaints score higher",
 }
-# Characters kept of each result text.
-RESULT_LENGTH = {"H1": 200, "H2": 200, "H3": 400, "H4": 200, "H5": 400}
 
 
 def _joined(rows: DataFrame, order: list[str], line: Column) -> DataFrame:
@@ -62,12 +60,13 @@ def gap_lines(gap: DataFrame) -> DataFrame:
     return _joined(gap.filter(F.col("diff").isNotNull()), ["group_key"], line)
 
 
-def hypothesis_report(**texts: DataFrame) -> DataFrame:
-    """(id, statement, result) from one-row text frames keyed by hypothesis id."""
+def hypothesis_report(length: int | None = None, **texts: DataFrame) -> DataFrame:
+    """(id, statement, result) from one-row text frames keyed by hypothesis id; with `length`,
+    so many characters of each result."""
     rows = [
         text.select(
             F.lit(h).alias("id"), F.lit(STATEMENTS[h]).alias("statement"),
-            left_n(F.col("result"), RESULT_LENGTH[h]).alias("result"),
+            (F.col("result") if length is None else left_n(F.col("result"), length)).alias("result"),
         )
         for h, text in sorted(texts.items())
     ]
@@ -103,6 +102,6 @@ def chart_tables(df: DataFrame, group: str, resolved: Column, score: str, month:
         "score_boxes": D.box_stats(df.withColumn("class", resolved.cast("int")), [group, "class"], score),
         "monthly_trend": P.trend_points(P.monthly_counts(df, group, month), group, month),
         "reply_rate": P.rate_by(df, group, F.col(reply).isNotNull()),
-        "view_boxes": D.box_stats(df.withColumn("__v", F.least(F.col(views), F.lit(1000))), group, "__v"),
+        "view_boxes": D.box_stats(df.withColumn("__v", clip_upper(views, F.lit(1000))), group, "__v"),
         "null_panel": P.null_panel(df, group, columns),
     }

@@ -62,9 +62,17 @@ def detail_fields(pages: DataFrame, html: str, url: str) -> DataFrame:
 
 
 def enrich(rows: DataFrame, detail: DataFrame, key: str, defaults: dict[str, object]) -> DataFrame:
-    """Left join of detail fields; rows without detail get the defaults."""
+    """Left join of detail fields; rows without detail get the defaults.
+
+    Each row takes one detail: of several for a key, the least in order of all fields. Blank
+    and null keys have none, and their rows take no part in the join.
+    """
     fields = [c for c in detail.columns if c != key]
-    joined = rows.join(detail, key, "left")
+    known = F.col(key).isNotNull() & (F.trim(F.col(key).cast("string")) != "")
+    one = detail.filter(known).groupBy(key).agg(F.min(F.struct(*fields)).alias("__one")).select(key, "__one.*")
+    rows = rows.drop(*fields)
+    found = rows.filter(known).join(one, key, "left")
+    joined = found.unionByName(rows.filter(~F.coalesce(known, F.lit(False))), allowMissingColumns=True)
     return joined.select(
         *[c for c in rows.columns if c not in fields],
         *[

@@ -11,57 +11,52 @@ from plaintscope.operators.ordered import top_per_group
 from plaintscope.session import cols, small_side, stage
 
 
-# Stop tables up to this size are used as a set of literals.
+# Stop tables up to this size are used as a set of literals: another plan, the same rows.
 LISTED_TERMS = 5_000
 
 
-def _rewrite(df: DataFrame, key: str, tokens: str, change) -> DataFrame:
+def _rewrite(df: DataFrame, tokens: str, change) -> DataFrame:
     """Explode token arrays, let `change` filter or rename `token`, put them back in order.
 
-    Documents are spread by `key` before exploding, so after a broadcast lookup the
-    regrouping needs no second shuffle. Each document also sends one row without a token:
-    it carries the other columns and keeps documents that lose every token.
+    Rows are told apart by a digest of all their columns, so blank, null or repeated ids merge
+    nothing and gather nowhere. Equal rows are folded into one with a count, map-side, and
+    unfolded at the end. Only (row, place, token) goes through `change`; texts and other
+    columns stay with the folded rows. A null array stays null.
     """
-    others = F.struct(*[c for c in df.columns if c not in (key, tokens)] or [F.lit(0).alias("none")])
-    kind = df.select(others.alias("s")).schema["s"].dataType
-    head = F.array(F.struct(F.lit(-1).alias("at"), F.lit(None).cast("string").alias("token"), others.alias("rest")))
-    body = F.transform(
-        tokens,
-        lambda t, i: F.struct(i.alias("at"), t.alias("token"), F.lit(None).cast(kind).alias("rest")),
-    )
-    long = df.repartition(key).select(key, F.explode(F.concat(head, body)).alias("t")).select(key, "t.*")
-    back = change(long).groupBy(key).agg(
-        F.first("rest", ignorenulls=True).alias("rest"),
-        F.array_sort(F.collect_list(F.when(F.col("at") >= 0, F.struct("at", "token"))))["token"].alias(tokens),
-    )
-    return back.select(*[c if c in (key, tokens) else f"rest.{c}" for c in df.columns])
+    row = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(df.columns)])
+    digest = F.struct(F.xxhash64(row).alias("a"), F.xxhash64(F.lit(1), row).alias("b"))
+    folded = df.groupBy(digest.alias("__row")).agg(F.first(row).alias("__all"), F.count(F.lit(1)).alias("__times"))
+    whole = folded.select("__row", "__times", *[F.col(f"__all.c{i}").alias(c) for i, c in enumerate(df.columns)])
+    long = whole.select("__row", F.posexplode(tokens).alias("at", "token"))
+    back = change(long).groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("at", "token")))["token"].alias("__new"))
+    joined = whole.join(back, "__row", "left").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int"))))
+    changed = F.when(F.col(tokens).isNotNull(), F.coalesce("__new", F.array().cast("array<string>")))
+    return joined.select(*[changed.alias(c) if c == tokens else F.col(c) for c in df.columns])
 
 
-def drop_tokens(
-    df: DataFrame, key: str, tokens: str, stops: DataFrame, term: str = "term", max_listed: int = LISTED_TERMS
-) -> DataFrame:
-    """Remove stop words held in a table of any size; repeats of other tokens stay.
+def drop_tokens(df: DataFrame, tokens: str, stops: DataFrame, term: str = "term", max_listed: int = LISTED_TERMS) -> DataFrame:
+    """Remove stop words held in a table of any size; repeats of other tokens, null tokens and
+    null arrays stay.
 
     A table of up to `max_listed` terms becomes a set inside the expression and no text
-    moves. A larger one is anti-joined.
+    moves. A larger one is anti-joined; both give the same rows.
     """
-    terms = stage(stops.select(F.col(term).alias("token")).distinct())
+    terms = stage(stops.select(F.col(term).alias("token")).filter(F.col(term).isNotNull()).distinct())
     listed = terms.limit(max_listed + 1).collect()
     if len(listed) <= max_listed:
-        return df.withColumn(tokens, remove_stops(tokens, [r.token for r in listed if r.token is not None]))
+        return df.withColumn(tokens, remove_stops(tokens, [r.token for r in listed]))
     lookup = small_side(terms)
-    return _rewrite(df, key, tokens, lambda long: long.join(lookup, "token", "left_anti"))
+    return _rewrite(df, tokens, lambda long: long.join(lookup, "token", "left_anti"))
 
 
-def apply_stems(df: DataFrame, key: str, tokens: str, stems: DataFrame) -> DataFrame:
+def apply_stems(df: DataFrame, tokens: str, stems: DataFrame) -> DataFrame:
     """Replace each token by its stem from a (token, stem) table; unknown tokens stay."""
     lookup = small_side(stage(stems.groupBy("token").agg(F.min("stem").alias("stem"))))
 
     def change(long: DataFrame) -> DataFrame:
-        joined = long.join(lookup, "token", "left")
-        return joined.select(key, "at", F.coalesce("stem", "token").alias("token"), "rest")
+        return long.join(lookup, "token", "left").select("__row", "at", F.coalesce("stem", "token").alias("token"))
 
-    return _rewrite(df, key, tokens, change)
+    return _rewrite(df, tokens, change)
 
 
 def stem_with(tokens: Column, stemmer) -> Column:

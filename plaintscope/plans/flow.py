@@ -53,10 +53,10 @@ def clean(
     as_list = stops if isinstance(stops, list) else []
     df = raw.withColumn("tokens", X.word_tokens("full_text", as_list, locale=locale))
     if not isinstance(stops, list):
-        df = K.drop_tokens(df, key, "tokens", stops)
+        df = K.drop_tokens(df, "tokens", stops)
     df = df.withColumn("stemmed", F.col("tokens"))
     if stems is not None:
-        df = K.apply_stems(df, key, "stemmed", stems)
+        df = K.apply_stems(df, "stemmed", stems)
     elif stemmer is not None:
         df = df.withColumn("stemmed", K.stem_with(F.col("stemmed"), stemmer))
     df = df.withColumn("stemmed", X.min_token_len("stemmed"))

@@ -63,12 +63,14 @@ def load_sources(spark: SparkSession, paths: dict[str, str], names: dict[str, st
 
 
 def load_stage(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """The first readable parquet stage, newest first."""
+    """The first parquet stage that exists, newest first. One that exists but cannot be read,
+    such as the rest of a failed overwrite, is an error and not passed over."""
     for path in paths:
         try:
             return spark.read.parquet(path)
-        except AnalysisException:
-            continue
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
     raise FileNotFoundError(f"none of the stages exists: {paths}")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession, types as T
+from pyspark.sql import SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 
@@ -18,6 +18,7 @@ def ingest_stream(
     **options: str,
 ) -> StreamingQuery:
     """Append new files of `source` to the parquet folder `target`, dropping repeated ids.
+    Every record with a blank or null id is kept.
 
     Runs through what is there, then stops; the next start goes on after it. The id
     state has no watermark on purpose: with one, late records would be lost. Point
@@ -28,7 +29,8 @@ def ingest_stream(
         spark.readStream.format(fmt).schema(schema).options(**options)
         .option("maxFilesPerTrigger", files_per_batch).load(source)
     )
-    fresh = arriving.dropDuplicates([key])
+    blank = F.coalesce(F.trim(F.col(key).cast("string")) == "", F.lit(True))
+    fresh = arriving.filter(~blank).dropDuplicates([key]).unionByName(arriving.filter(blank))
     return (
         fresh.writeStream.format("parquet")
         .outputMode("append")

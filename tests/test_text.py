@@ -105,13 +105,25 @@ def test_stop_and_stem_tables(spark):
     )
     stops = spark.createDataFrame([("ve",)], "term string")
     for listed in (0, 100):
-        got = {r.id: (r.tokens, r.note) for r in K.drop_tokens(docs, "id", "tokens", stops, max_listed=listed).collect()}
+        got = {r.id: (r.tokens, r.note) for r in K.drop_tokens(docs, "tokens", stops, max_listed=listed).collect()}
         assert got == {1: (["kart", "kart", "iade"], "x"), 2: ([], "y"), 3: ([], "z")}
     stems = spark.createDataFrame([("iade", "iad")], "token string, stem string")
-    got = {r.id: r.tokens for r in K.apply_stems(docs, "id", "tokens", stems).collect()}
+    got = {r.id: r.tokens for r in K.apply_stems(docs, "tokens", stems).collect()}
     assert got == {1: ["kart", "ve", "kart", "iad"], 2: ["ve"], 3: []}
 
 
+def test_rows_are_kept_apart_without_good_ids(spark):
+    rows = [("", ["a", "ve"], "g"), ("", ["b"], "g"), (None, ["ve", "a"], None), (None, ["ve", "a"], None), ("k", None, "g"), ("n", [None, "ve", "a"], "g")]
+    docs = spark.createDataFrame(rows, "id string, tokens array<string>, g string")
+    stops = spark.createDataFrame([("ve",), (None,)], "term string")
+    want = sorted([("", ["a"], "g"), ("", ["b"], "g"), (None, ["a"], None), (None, ["a"], None), ("k", None, "g"), ("n", [None, "a"], "g")], key=str)
+    for listed in (0, 100):
+        got = K.drop_tokens(docs, "tokens", stops, max_listed=listed)
+        assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=str) == want
+    stems = spark.createDataFrame([("a", "s")], "token string, stem string")
+    assert K.apply_stems(docs, "tokens", stems).count() == len(rows)
+
+
 def test_stemmer_hook(spark):
     docs = spark.createDataFrame([(["kartlar", "iade"],)], "tokens array<string>")
 
