@@ -164,16 +164,30 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 class Gru:
     def __init__(self, vector: np.ndarray):
-        self.vector, self.p = vector, unpack(vector)
+        self.vector, self.p, self.table = vector, unpack(vector), None
+
+    def fix(self) -> Gru:
+        """From now on the parameters stay as they are: inputs are multiplied once."""
+        self.table = self.p["vectors"] @ self.p["into"] + self.p["into_bias"]
+        return self
+
+    def entering(self, inputs: np.ndarray) -> np.ndarray:
+        """Word vectors of the inputs times their weights, by way of all vectors if that is less work."""
+        p = self.p
+        if self.table is not None:
+            return self.table[inputs]
+        if inputs.size < len(p["vectors"]):
+            return p["vectors"][inputs] @ p["into"] + p["into_bias"]
+        return (p["vectors"] @ p["into"] + p["into_bias"])[inputs]
 
     def run(self, inputs: np.ndarray, state: np.ndarray, keep: bool = False):
         """States after each of the inputs (steps x texts), the last one also by itself."""
         p, s = self.p, SIZE
-        table = p["vectors"] @ p["into"] + p["into_bias"]
+        entering = self.entering(inputs)
         states = np.empty((*inputs.shape, s), np.float32)
         trace = []
         for t in range(len(inputs)):
-            x, u = table[inputs[t]], state @ p["over"]
+            x, u = entering[t], state @ p["over"]
             gate = sigmoid(x[:, :2 * s] + u[:, :2 * s])
             z, r = gate[:, :s], gate[:, s:]
             inner = u[:, 2 * s:] + p["over_bias"]
@@ -381,7 +395,7 @@ def log_likelihood(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     sent = spark.sparkContext.broadcast(vector)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Gru(sent.value)
+        model = Gru(sent.value).fix()
         part, row = TaskContext.get().partitionId(), 0
         for batch in batches:
             for a, b in pieces(batch.column("text"), PIECE_BYTES):
