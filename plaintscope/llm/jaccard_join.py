@@ -170,7 +170,7 @@ def next_split(bucket_rows: DataFrame) -> DataFrame:
 def shared_buckets(rows: DataFrame) -> DataFrame:
     """(path, rep, n) of buckets with two representatives or more, staged."""
     rows = stage(rows)
-    size = rows.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1")
+    size = stage(rows.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1"))  # staged, so that a skewed join can be split
     return stage(rows.join(size, "path").select("path", "rep", "n"))
 
 
