@@ -87,14 +87,19 @@ def null_profile(df: DataFrame, groups: str | list[str], score: str, keywords: s
         rate(F.col(keywords).isNull()).alias("keywords_null_pct"),
         F.count(reply).alias("replies"),
         rate(F.col(reply).isNotNull()).alias("reply_pct"),
+        *(_percentiles(score, {"median": 0.5}) if bounded_score else []),
     )
-    return _with_quantiles(profile, df, groups, score, {"median": 0.5}, bounded_score)
+    return profile if bounded_score else _with_quantiles(profile, df, groups, score, {"median": 0.5})
 
 
-def _with_quantiles(base: DataFrame, df: DataFrame, groups: list[str], value: str,
-                    probs: dict[str, float], bounded: bool = False) -> DataFrame:
-    """Join exact quantiles to a table with one row per group."""
-    return join_groups(base, stage(quantiles_by(df, groups, value, probs, bounded)), groups, "left")
+def _with_quantiles(base: DataFrame, df: DataFrame, groups: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Join exact quantiles to a table with one row per group, by way of a value table."""
+    return join_groups(base, stage(quantiles_by(df, groups, value, probs)), groups, "left")
+
+
+def _percentiles(value: str, probs: dict[str, float]) -> list[Column]:
+    """Exact quantiles of a column of few distinct values, inside the aggregate at hand."""
+    return [F.percentile(null_if_nan(F.col(value).cast("double")), F.lit(p)).alias(n) for n, p in probs.items()]
 
 
 def summary(df: DataFrame, groups: str | list[str], resolved: Column, score: str, words: str, views: str,
@@ -103,13 +108,16 @@ def summary(df: DataFrame, groups: str | list[str], resolved: Column, score: str
     quartiles are exact."""
     groups = cols(groups)
     s = null_if_nan(F.col(score).cast("double"))
+    probs = {"med_score": 0.5, "q25": 0.25, "q75": 0.75}
     base = df.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("n"),
         rate(resolved).alias("resolved_pct"),
         rate(s.isNull()).alias("null_pct"),
         F.avg(words).alias("mean_words"),
+        *(_percentiles(score, probs) if bounded_score else []),
     )
-    base = _with_quantiles(base, df, groups, score, {"med_score": 0.5, "q25": 0.25, "q75": 0.75}, bounded_score)
+    if not bounded_score:
+        base = _with_quantiles(base, df, groups, score, probs)
     return _with_quantiles(base, df, groups, views, {"med_views": 0.5})
 
 
@@ -126,8 +134,10 @@ def quality_precheck(df: DataFrame, groups: str | list[str], resolved: Column, s
         F.count_if(s.isNull()).alias("n_null"),
         rate(s.isNull()).alias("null_pct"),
         skewness(score).alias("skew"),
+        *(_percentiles(score, {"median": 0.5}) if bounded_score else []),
     )
-    base = _with_quantiles(base, df, groups, score, {"median": 0.5}, bounded_score)
+    if not bounded_score:
+        base = _with_quantiles(base, df, groups, score, {"median": 0.5})
     return base.withColumn("warn", skew_flag("skew"))
 
 
@@ -137,8 +147,9 @@ def score_distribution(df: DataFrame, groups: str | list[str], score: str, bound
     if dict(df.dtypes)[score] in ("double", "float"):
         df = df.withColumn(score, null_if_nan(F.col(score)))
     counts = df.groupBy(*groups, score).agg(F.count(F.lit(1)).alias("n"))
-    per_group = df.groupBy(*groups).agg(rate(F.col(score).isNull()).alias("null_pct"))
-    per_group = stage(_with_quantiles(per_group, df, groups, score, {"median": 0.5}, bounded_score))
+    medians = _percentiles(score, {"median": 0.5}) if bounded_score else []
+    per_group = df.groupBy(*groups).agg(rate(F.col(score).isNull()).alias("null_pct"), *medians)
+    per_group = stage(per_group if bounded_score else _with_quantiles(per_group, df, groups, score, {"median": 0.5}))
     return join_groups(counts.filter(F.col(score).isNotNull()), per_group, groups)
 
 
@@ -151,8 +162,9 @@ def kpi_table(df: DataFrame, groups: str | list[str], resolved: Column, score: s
         F.avg(null_if_nan(F.col(score).cast("double"))).alias("mean_score"),
         F.avg(null_if_nan(F.col(words).cast("double"))).alias("mean_words"),
         F.avg(null_if_nan(F.col(views).cast("double"))).alias("mean_views"),
+        *(_percentiles(score, {"med_score": 0.5}) if bounded_score else []),
     )
-    return _with_quantiles(base, df, groups, score, {"med_score": 0.5}, bounded_score)
+    return base if bounded_score else _with_quantiles(base, df, groups, score, {"med_score": 0.5})
 
 
 def date_span(df: DataFrame, date: str, groups: str | list[str] = ()) -> DataFrame:
