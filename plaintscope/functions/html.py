@@ -118,9 +118,14 @@ def nested_text(html: Column | str, cls: str, sep: str = "", exact: bool = True,
 
 
 def extract_attr(html: Column | str, tag: str, attr: str, default: str = "") -> Column:
-    """Attribute of the first such tag that carries it."""
-    html, pattern = _c(html), rf"(?s)<{tag}\b[^>]*\b{re.escape(attr)}=\"([^\"]*)\""
-    return F.when(html.rlike(pattern), F.regexp_extract(html, pattern, 1)).otherwise(default)
+    """Attribute of the first such tag that carries it, entities decoded. Tag and name in any
+    case, the value in either kind of quotes or bare; the name is a whole one (`href` is not
+    found in `data-href`)."""
+    up_to = rf"(?is)<{tag}\b[^>]*?\s{re.escape(attr)}\s*=\s*"
+    found = F.regexp_substr(_c(html), F.lit(up_to + r"(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"))
+    quoted = F.regexp_replace(found, up_to.replace("(?is)", "(?is)^"), "")
+    value = F.when(quoted.rlike("^[\"']"), F.substring(quoted, F.lit(2), F.length(quoted) - 2)).otherwise(quoted)
+    return F.when(found.isNotNull(), decode_entities(value)).otherwise(default)
 
 
 def extract_tags(html: Column | str, tag: str, cls: str | None = None) -> Column:

@@ -64,3 +64,13 @@ def test_the_stream_keeps_every_record_without_an_id(spark, tmp_path):
     ingest_stream(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/c", rows.schema).awaitTermination()
     got = [r.n for r in spark.read.parquet(f"{tmp_path}/out").collect()]
     assert len(got) == 5 and {3, 4, 5, 6} <= set(got)
+
+
+@pytest.mark.parametrize("page, want", [
+    ('<a class="x" href="/q?a=1&amp;b=2">t</a>', "/q?a=1&b=2"), ("<A HREF='/u'>t</A>", "/u"), ("<a href=/bare class=x>t</a>", "/bare"),
+    ('<a data-href="/no">t</a>', "-"), ('<a data-href="/no" href="/yes" href="/later">t</a>', "/yes"), ("<p>none</p>", "-"), ('<a href="">t</a>', ""),
+])
+def test_attributes_as_a_page_writes_them(spark, page, want):
+    from plaintscope.functions.html import extract_attr
+
+    assert spark.createDataFrame([(page,)], "h string").select(extract_attr("h", "a", "href", "-").alias("v")).first().v == want
