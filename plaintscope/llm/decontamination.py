@@ -10,6 +10,7 @@ and comparing the words decides.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -101,7 +102,7 @@ def scan(data: bytes, offsets: np.ndarray, found: list[WuManber]) -> pa.Array:
          lists(np.array(n_items, np.int64), pa.array(items, pa.string()))], ["n_words", "spans", "items"])
 
 
-_READY: dict[int, list[WuManber]] = {}
+_READY: dict[str, list[WuManber]] = {}
 
 
 def _searchers(shared) -> list[WuManber]:
@@ -142,7 +143,7 @@ def with_contamination(
     found = docs
     for k in range(blocks):
         part = named.filter(F.pmod(F.xxhash64("item", "passage"), F.lit(blocks)) == k) if blocks > 1 else named
-        shared = spark.sparkContext.broadcast((f"{id(named)}-{k}", [(r.item, r.passage) for r in part.collect()]))
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, [(r.item, r.passage) for r in part.collect()]))
         found = with_result(found, f"__pass_{k}", _pass(shared)(F.col(text)))
         if blocks > 1:
             found = stage(found)
