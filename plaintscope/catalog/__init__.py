@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from plaintscope.session import spread
+from plaintscope.session import checkpoint_dir, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,6 +43,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def scratch(t: Tables, name: str) -> str:
+    """A fresh folder below the shared checkpoint folder."""
+    return f"{checkpoint_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def r6(c: Column | str) -> Column:
     """Six digits, half-even, as the SQL side rounds."""
     return F.bround(c, 6)

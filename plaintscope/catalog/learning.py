@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from plaintscope.catalog import Tables, query, r6
+from plaintscope.catalog.features import SPLIT
 from plaintscope.functions import text as X
 from plaintscope.functions.scalars import verdict
 from plaintscope.operators import classify as M, distribution as D, evaluation as V, splits as S
@@ -131,31 +132,64 @@ def f21_verdict(t: Tables):
     return m.select("lang", verdict("accuracy").alias("verdict"))
 
 
-def _grid(t: Tables, **options):
+def labelled_grid(t: Tables, **options):
     docs = t.texts("lang").join(t.labels, "doc_id").select(
         "lang", "doc_id", "quality", X.feature_tokens("text").alias("words")
     )
     return M.train_grid(docs, "lang", "doc_id", "quality", "words", **options)
 
 
-@query("m14_grid")
+# Test rows of each group that has enough labelled documents of both classes.
+HELD = f"""
+WITH d AS (SELECT doc_id, lang, quality FROM documents JOIN labels USING (doc_id)
+           WHERE quality IS NOT NULL AND len(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) > 0
+           QUALIFY count(*) OVER (PARTITION BY lang) >= 50 AND min(quality) OVER (PARTITION BY lang) < max(quality) OVER (PARTITION BY lang)),
+{SPLIT.split("IS NOT NULL),", 1)[1].strip()},
+h AS (SELECT lang AS group_key, model, doc_id, quality AS truth FROM r JOIN t USING (lang, quality),
+             (VALUES ('logistic_regression'), ('random_forest'), ('linear_svm')) v(model) WHERE rank < n_test)
+"""
+
+
+# What holds for any solver: test rows by class, and values that every row must keep to.
+@query("m14_grid", HELD + """
+SELECT group_key, model, count(*) FILTER (truth = 0) AS n0, count(*) FILTER (truth = 1) AS n1, TRUE AS recall_is_accuracy,
+       TRUE AS in_range, TRUE AS cross_validated FROM h GROUP BY 1, 2
+""")
 def m14_grid(t: Tables):
-    board = M.leaderboard(_grid(t, trees=20, depth=5, folds=0, max_iter=50))
-    return board.select("group_key", "model", *[r6(c).alias(c) for c in ("accuracy", "precision", "recall", "f1", "auc")])
+    results = labelled_grid(t)
+    keys = ["group_key", "model"]
+    tested = reduce(DataFrame.unionByName, [p for r in results for p in r.predictions])
+    sizes = tested.groupBy(*keys).agg(F.count_if(F.col("truth") == 0).alias("n0"), F.count_if(F.col("truth") == 1).alias("n1"))
+    shares = [F.col(c).between(0, 1) for c in ("accuracy", "precision", "recall", "f1", "auc")]
+    return sizes.join(M.leaderboard(results), keys, "left").select(
+        *keys, "n0", "n1", (F.abs(F.col("recall") - F.col("accuracy")) < 1e-9).alias("recall_is_accuracy"),
+        reduce(lambda a, b: a & b, shares).alias("in_range"),
+        (F.col("cv_mean").between(0, 1) & (F.col("cv_std") >= 0)).alias("cross_validated"),
+    )
 
 
-@query("m13_features")
+# Twenty terms of each model, heaviest first. Folds do not change these models.
+@query("m13_features", HELD + """
+SELECT group_key, model, CAST(rank AS INTEGER) AS rank, TRUE AS falling FROM (SELECT DISTINCT group_key, model FROM h), range(1, 21) x(rank)
+""")
 def m13_features(t: Tables):
-    rows = None
-    for fitted in _grid(t, trees=5, depth=4, folds=0, max_iter=50):
-        for name, model in fitted.models.items():
-            top = M.feature_top(model, fitted.terms).withColumns({"group_key": F.lit(fitted.group), "model": F.lit(name)})
-            rows = top if rows is None else rows.unionByName(top)
-    return rows
+    tops = [
+        M.feature_top(model, fitted.terms).withColumns({"group_key": F.lit(fitted.group), "model": F.lit(name)})
+        for fitted in labelled_grid(t, folds=0) for name, model in fitted.models.items()
+    ]
+    order = Window.partitionBy("group_key", "model").orderBy(F.col("importance").desc(), "term")
+    before = F.lag("importance").over(order)
+    return reduce(DataFrame.unionByName, tops).select(
+        "group_key", "model", F.row_number().over(order).alias("rank"),
+        (F.coalesce(F.col("importance") <= before, F.lit(True)) & (F.col("importance") == F.abs("signed"))).alias("falling"),
+    )
 
 
-# Labels and scores of the held-out rows: probability of class 1, or the margin.
-@query("m6_score")
+# Every test row is scored once by every model; the label is the side of the score.
+@query("m6_score", HELD + "SELECT group_key, model, doc_id, truth::INTEGER AS truth, TRUE AS scored FROM h")
 def m6_score(t: Tables):
-    rows = [p for fitted in _grid(t, trees=5, depth=4, folds=0, max_iter=50) for p in fitted.predictions]
-    return reduce(DataFrame.unionByName, rows).withColumn("score", r6("score"))
+    rows = reduce(DataFrame.unionByName, [p for fitted in labelled_grid(t, folds=0) for p in fitted.predictions])
+    margin = F.col("model") == "linear_svm"
+    side = F.when(F.col("score") > F.when(margin, 0.0).otherwise(0.5), 1).otherwise(0)
+    fits = (side == F.col("predicted")) & (margin | F.col("score").between(0, 1))
+    return rows.select("group_key", "model", "doc_id", "truth", fits.alias("scored"))

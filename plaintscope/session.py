@@ -111,14 +111,6 @@ def group_key(groups: list[str]) -> Column:
     return F.struct(*groups) if groups else F.lit(0)
 
 
-def stage_by(df: DataFrame, group: str) -> DataFrame:
-    """Like `stage`, but as parquet folders per group, so reading one group reads only it."""
-    path = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.partitionBy(group).parquet(path)
-    kind = df.schema[group].dataType
-    return df.sparkSession.read.parquet(path).withColumn(group, F.col(group).cast(kind)).select(*df.columns)
-
-
 def in_parallel(work: Callable[[T], R], items: Iterable[T], parallelism: int = 4) -> list[R]:
     """Results of independent model fits in order, a few of them running at a time.
 
