@@ -1,7 +1,8 @@
-"""Session set-up and the two physical helpers every operator shares."""
+"""Session set-up and the physical helpers the operators share."""
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
@@ -19,6 +20,9 @@ R = TypeVar("R")
 # `small_side`; beyond it the join stays a shuffle join under AQE.
 BROADCAST_ROWS = 200_000
 
+# Rows of a fit that one task takes on; tables of more files than that keep their splits.
+ROWS_A_TASK = 5_000
+
 
 def build_session(app: str = "plaintscope", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the library is written for.
@@ -123,5 +127,10 @@ def in_parallel(work: Callable[[T], R], items: Iterable[T], parallelism: int = 4
         return pool.map(inheritable_thread_target(SparkSession.active())(work), items, chunksize=1)
 
 
+def few_tasks(df: DataFrame, rows: int) -> DataFrame:
+    """`df`, of about `rows` rows, in fewer tasks where it is small: a fit passes over it many times."""
+    return df.coalesce(math.ceil(rows / ROWS_A_TASK) or 1)
+
+
 def cols(names: str | list[str]) -> list[str]:
     return [names] if isinstance(names, str) else list(names)
