@@ -8,8 +8,11 @@ The model is a GRU in numpy. Its output is factored: a class given the state, th
 the class and the state. OUTPUT_WORDS of the commonest words fill classes of CLASS_WORDS; one
 class more stands for every other word, whose share inside it is (c + 1) / (N' + V' + 1) by the
 counts. Training is back-propagation truncated to WINDOW tokens, the state carried on to the
-next window. Every task trains on its texts from the same start, the parameters are averaged
-by tokens over all tasks, and a next round begins from the average.
+next window. The training texts are parted by hash into ROUNDS shares, one a round, so the network
+learns from each text once. Every task of a round trains on its texts from the same start, the
+parameters are averaged by tokens over all tasks, and the next round begins from the average.
+The texts of a round are dealt over tasks by their volume, so a task has TASK_TOKENS to learn
+from, however the input is parted.
 """
 
 from __future__ import annotations
@@ -32,10 +35,10 @@ RARE_INPUTS = 128       # input vectors shared by all other words, by hash
 SIZE = 24               # of word vectors and of the state
 WINDOW = 32             # tokens of truncated back-propagation
 BATCH = 96              # texts trained side by side
-ROUNDS = 2              # training rounds ...
-ROUND_SHARE = 8         # ... each over one training text in so many (another one each round)
+ROUNDS = 8              # training rounds, each over another share of the training texts, together over all
+TASK_TOKENS = 1_000_000  # about so many tokens of a round are learned by a task
 RATE = 0.01
-PIECE_BYTES = 8 << 20   # of texts scored side by side
+PIECE_BYTES = 8 << 20   # of texts learned from or scored side by side
 COUNT_ROWS = 1 << 20    # counts a task holds before it hands them to Spark
 
 END = np.uint64(mix(np.array([0x656E64], np.uint64))[0])  # the value of the end token
@@ -185,7 +188,7 @@ class Gru:
         p, s = self.p, SIZE
         entering = self.entering(inputs)
         states = np.empty((*inputs.shape, s), np.float32)
-        trace = []
+        trace = [np.empty((*inputs.shape, n), np.float32) for n in (2 * s, s, s)] if keep else None  # gates, inner, new
         for t in range(len(inputs)):
             x, u = entering[t], state @ p["over"]
             gate = sigmoid(x[:, :2 * s] + u[:, :2 * s])
@@ -193,7 +196,7 @@ class Gru:
             inner = u[:, 2 * s:] + p["over_bias"]
             new = np.tanh(x[:, 2 * s:] + r * inner)
             if keep:
-                trace.append((state, z, r, inner, new))
+                trace[0][t], trace[1][t], trace[2][t] = gate, inner, new
             state = new + z * (state - new)
             states[t] = state
         return states, state, trace
@@ -217,24 +220,31 @@ class Gru:
             learn["classes"] += states.T @ share
             learn["class_bias"] += share.sum(axis=0)
             back = share @ p["classes"].T
-        order = np.argsort(kind, kind="stable")
+        order = np.argsort(kind.astype(np.int16), kind="stable")
         edges = np.searchsorted(kind[order], np.arange(CLASSES + 1))
+        order = order[:edges[-1]]
+        by_class, word_in_class = states[order], targets[order] % CLASS_WORDS
+        inner, above = np.empty(len(order), result.dtype), np.empty_like(by_class)
         for k in range(CLASSES):
-            at = order[edges[k]:edges[k + 1]]
-            if not len(at):
+            at = slice(edges[k], edges[k + 1])
+            word, h = word_in_class[at], by_class[at]
+            if not len(h):
                 continue
-            word, h, own = targets[at] - k * CLASS_WORDS, states[at], np.arange(len(at))
+            own = rows[:len(h)]
             logits = h @ p["words"][k] + p["word_bias"][k]
             logits -= logits.max(axis=1, keepdims=True)
             share = np.exp(logits)
             total = share.sum(axis=1, keepdims=True)
-            result[at] += logits[own, word] - np.log(total[:, 0])
+            inner[at] = logits[own, word] - np.log(total[:, 0])
             if learn is not None:
                 share /= total
                 share[own, word] -= 1
                 learn["words"][k] += h.T @ share
                 learn["word_bias"][k] += share.sum(axis=0)
-                back[at] += share @ p["words"][k].T
+                above[at] = share @ p["words"][k].T
+        result[order] += inner
+        if learn is not None:
+            back[order] += above
         return result if learn is None else (result, back)
 
     def window_gradient(self, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray, state: np.ndarray):
@@ -246,20 +256,23 @@ class Gru:
         result, back = self.log_probabilities(states[live], targets[live], g)
         above = np.zeros_like(states)
         above[live] = back
+        gate, inner, new = trace
+        z, r = gate[..., :s], gate[..., s:]
+        before = np.concatenate((state[None], states[:-1]))
+        new_by, z_by, r_by = (1 - z) * (1 - new * new), (before - new) * z * (1 - z), inner * r * (1 - r)
         into_x = np.empty((*inputs.shape, 3 * s), np.float32)
+        into_u = np.empty_like(into_x)
+        back_over = np.ascontiguousarray(p["over"].T)
         carried = np.zeros_like(state)
         for t in range(len(inputs) - 1, -1, -1):
-            before, z, r, inner, new = trace[t]
-            d = above[t] + carried
-            d_new = d * (1 - z) * (1 - new * new)
-            d_z = d * (before - new) * z * (1 - z)
-            d_r = d_new * inner * r * (1 - r)
-            d_u = np.concatenate((d_z, d_r, d_new * r), axis=1)
-            into_x[t] = np.concatenate((d_z, d_r, d_new), axis=1)
-            g["over"] += before.T @ d_u
-            g["over_bias"] += (d_new * r).sum(axis=0)
-            carried = d * z + d_u @ p["over"].T
-        flat_x, flat_in = into_x.reshape(-1, 3 * s), inputs.reshape(-1)
+            d, x, u = above[t] + carried, into_x[t], into_u[t]
+            d_new = d * new_by[t]
+            x[:, :s], x[:, s:2 * s], x[:, 2 * s:] = d * z_by[t], d_new * r_by[t], d_new
+            u[:, :2 * s], u[:, 2 * s:] = x[:, :2 * s], d_new * r[t]
+            carried = d * z[t] + u @ back_over
+        flat_x, flat_u, flat_in = into_x.reshape(-1, 3 * s), into_u.reshape(-1, 3 * s), inputs.reshape(-1)
+        g["over"] += before.reshape(-1, s).T @ flat_u
+        g["over_bias"] += flat_u[:, 2 * s:].sum(axis=0)
         g["into_bias"] += flat_x.sum(axis=0)
         g["into"] += p["vectors"][flat_in].T @ flat_x
         order = np.argsort(flat_in, kind="stable")
@@ -310,6 +323,16 @@ class Adam:
         vector -= rate * self.mean / (np.sqrt(self.square) + 1e-8)
 
 
+def share(docs: DataFrame, k: int, total: int) -> DataFrame:
+    """The k-th of ROUNDS shares of `docs` (key, text; `total` tokens in all), in tasks of similar volume.
+
+    Rows are dealt in turn, so equal rows do not meet in one task; inside a task they go by
+    hash, so a repeated task learns in the same order.
+    """
+    part = docs.withColumn("place", F.xxhash64("key", "text")).filter(F.pmod("place", F.lit(ROUNDS)) == k)
+    return part.repartition(math.ceil(total / ROUNDS / TASK_TOKENS)).sortWithinPartitions("place").drop("place")
+
+
 def train(docs: DataFrame, text: str, head, start: np.ndarray) -> np.ndarray:
     """One round over `docs`: all tasks begin at `start`, the result is the average by tokens."""
     sent = docs.sparkSession.sparkContext.broadcast(start)
@@ -319,7 +342,7 @@ def train(docs: DataFrame, text: str, head, start: np.ndarray) -> np.ndarray:
         adam = Adam(len(model.vector))
         for batch in batches:
             texts = batch.column(0)
-            for a, b in pieces(texts):
+            for a, b in pieces(texts, PIECE_BYTES):  # many texts, so that those side by side are of like length
                 _, _, inputs, targets, offsets = prepared(texts.slice(a, b - a), head.value)
                 seen += len(targets)
                 by_length = np.argsort(np.diff(offsets), kind="stable")
@@ -390,8 +413,7 @@ def log_likelihood(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     shared, vector = spark.sparkContext.broadcast(head), initial(head)
     if head.total:
         for k in range(ROUNDS):
-            part = training.filter(F.pmod(F.xxhash64("key", "text"), F.lit(ROUND_SHARE)) == k)
-            vector = train(part, "text", shared, vector)
+            vector = train(share(training, k, head.total), "text", shared, vector)
     sent = spark.sparkContext.broadcast(vector)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -90,3 +90,30 @@ def test_state_is_carried_across_windows(monkeypatch):
     short = gru_lm.score_piece(texts, head, model).column("model").to_pylist()
     monkeypatch.setattr(gru_lm, "WINDOW", 1000)
     assert gru_lm.score_piece(texts, head, model).column("model").to_pylist() == pytest.approx(short, rel=1e-5)
+
+
+def test_every_training_text_is_learned_from_once(spark, monkeypatch):
+    rows = [(k, f"text number {k} of the table") for k in range(300)] + [(7, "text number 7 of the table"), (None, "no key"), (None, None)]
+    learned, train = Counter(), gru_lm.train
+
+    def seen(docs, text, head, start):
+        learned.update(r[text] for r in docs.select(text).collect())
+        return train(docs, text, head, start)
+
+    monkeypatch.setattr(gru_lm, "train", seen)
+    gru_lm.log_likelihood(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    assert learned == Counter(t for k, t in rows if k is None or zlib.crc32(str(k).encode()) % 7 != 2)
+
+
+def test_many_small_partitions_learn_as_much_as_few(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    few, many = (sum(r.score for r in gru_lm.log_likelihood(docs.repartition(n)).filter("held_out").collect()) for n in (1, 32))
+    assert many == pytest.approx(few, rel=0.001)
+
+
+def test_a_round_is_dealt_over_tasks_by_volume(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "same text") for _ in range(90)] + [(k, "a b") for k in range(90)], "key long, text string").repartition(20)
+    monkeypatch.setattr(gru_lm, "ROUNDS", 1)
+    monkeypatch.setattr(gru_lm, "TASK_TOKENS", 180)
+    sizes = gru_lm.share(docs, 0, 540).rdd.glom().map(len).collect()
+    assert len(sizes) == 3 and max(sizes) < 2 * min(sizes)
