@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plaintscope.llm import byte_bpe, chat_format, decontamination, gru_lm, jaccard_join, quality_classifier, quality_rules, token_counts, token_files, url_filter
+from plaintscope.llm import byte_bpe, chat_format, decontamination, gru_lm, jaccard_join, quality_classifier, quality_rules, token_counts, token_files, url_filter, whitening
 from plaintscope.llm.queries_sql import OP1_SQL, OP2_SQL, OP4_SQL, OP10_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,9 @@ def op9(spark, folder):
 def op6(spark, folder):
     found = jaccard_join.near_duplicates(table(spark, folder, "documents", "doc_id", "text"))
     return found.select("doc_id", "class_id", "copy_id", "n_links")
+
+
+@query("op11_whitening")
+def op11(spark, folder):
+    whitened = whitening.with_whitening(table(spark, folder, "embeddings", "vec_id", "embedding"))
+    return whitening.components(whitened)
