@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plaintscope.llm import byte_bpe, chat_format, decontamination, gru_lm, jaccard_join, quality_classifier, quality_rules, token_counts, token_files, url_filter, whitening
+from plaintscope.llm import byte_bpe, chat_format, decontamination, gru_lm, jaccard_join, packing, quality_classifier, quality_rules, token_counts, token_files, url_filter, whitening, word_units
 from plaintscope.llm.queries_sql import OP1_SQL, OP2_SQL, OP4_SQL, OP10_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,12 @@ def op6(spark, folder):
 def op11(spark, folder):
     whitened = whitening.with_whitening(table(spark, folder, "embeddings", "vec_id", "embedding"))
     return whitening.components(whitened)
+
+
+@query("op12_packing")
+def op12(spark, folder):
+    tokenizer = word_units.share_tokenizer(spark, public_tokenizers.path("byte_bpe_50k.json"))
+    path = packing.new_folder(spark)
+    capacity = packing.Capacity(tokens=1024, documents=1024, attention=1024 * 1024)
+    packing.write_packed(table(spark, folder, "documents", "doc_id", "text"), tokenizer, path, end_id=2, capacity=capacity)
+    return packing.digests(spark, path)
