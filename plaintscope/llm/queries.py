@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plaintscope.llm import byte_bpe, chat_format, decontamination, gru_lm, jaccard_join, packing, quality_classifier, quality_rules, token_counts, token_files, url_filter, whitening, word_units
-from plaintscope.llm.queries_sql import OP1_SQL, OP2_SQL, OP4_SQL, OP10_SQL
+from plaintscope.llm import byte_bpe, chat_format, decontamination, gru_lm, jaccard_join, lexical_search, packing, quality_classifier, quality_rules, token_counts, token_files, url_filter, whitening, word_units
+from plaintscope.llm.queries_sql import OP1_SQL, OP2_SQL, OP4_SQL, OP10_SQL, OP13_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -113,3 +113,10 @@ def op12(spark, folder):
     capacity = packing.Capacity(tokens=1024, documents=1024, attention=1024 * 1024)
     packing.write_packed(table(spark, folder, "documents", "doc_id", "text"), tokenizer, path, end_id=2, capacity=capacity)
     return packing.digests(spark, path)
+
+
+@query("op13_lexical_search", OP13_SQL)
+def op13(spark, folder):
+    path = lexical_search.new_folder(spark)
+    lexical_search.write_index(table(spark, folder, "documents", "doc_id", "text"), path)
+    return lexical_search.search(spark.read.parquet(path), table(spark, folder, "benchmark", "item_id", "text"))

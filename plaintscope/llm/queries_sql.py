@@ -109,3 +109,29 @@ SELECT page_id, host, path, best.host || best.path AS rule,
          THEN 'block' ELSE 'allow' END) AS verdict
 FROM ruled
 """
+
+OP13_SQL = r"""
+WITH docs AS (
+  SELECT r, doc_id, w, len(w) AS n
+  FROM (SELECT row_number() OVER () AS r, doc_id,
+               regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+        FROM documents)),
+asked AS (
+  SELECT row_number() OVER () AS i, item_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+corpus AS (SELECT CAST(count(*) FILTER (n > 0) AS BIGINT) AS docs_n, CAST(sum(n) AS BIGINT) AS terms_n FROM docs),
+said AS (SELECT i, item_id, t, count(*) AS times FROM (SELECT i, item_id, unnest(w) AS t FROM asked) GROUP BY ALL),
+held AS (SELECT r, doc_id, n, t, count(*) AS tf FROM (SELECT r, doc_id, n, unnest(w) AS t FROM docs)
+         WHERE t IN (SELECT t FROM said) GROUP BY ALL),
+weighed AS (SELECT t, CAST(floor(1000 * ln((2 * docs_n + 2) / (2 * df + 1))) AS BIGINT) AS weight
+            FROM (SELECT t, count(*) AS df FROM held GROUP BY t), corpus),
+scored AS (
+  SELECT i, item_id, r, doc_id,
+         CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs_n) // terms_n)))) AS BIGINT) AS score
+  FROM said JOIN held USING (t) JOIN weighed USING (t), corpus GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS place FROM scored WHERE score > 0)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM ranked WHERE place <= 10
+"""

@@ -11,6 +11,6 @@ def test_same_rows_as_sql(spark, small, name):
     assert compare(spark, connect(small), queries.QUERIES[name], queries.ORACLES[name], small) == []
 
 
-@pytest.mark.parametrize("n", range(1, 11))
+@pytest.mark.parametrize("n", range(1, 14))
 def test_every_operator_has_its_query(n):
     assert sum(q.startswith(f"op{n}_") for q in queries.QUERIES) == 1
