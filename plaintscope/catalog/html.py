@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plaintscope.catalog import Tables, query
-from plaintscope.functions import fixed_values as fv, html as H
+from plaintscope.functions import fixed_values as fv, html as H, page as P
 from plaintscope.functions.fixed_values import TURKISH_MONTHS
 from plaintscope.functions.scalars import absolute_url, resolution_status, safe_double, safe_int
 from plaintscope.operators import scraped as S
@@ -137,6 +137,56 @@ def x11_classes(t: Tables):
     return S.class_inventory(t.pages, "html", ["ad", "nav", "text"])
 
 
+# Orders rendered with elements inside their own kind, in any case and quoting.
+@query("x1_nested", """
+SELECT o_orderkey, pos::INTEGER AS pos, [0, 1, 1, 2][pos + 1]::INTEGER AS depth,
+       [o_orderstatus || o_orderpriority || o_custkey || 'end', o_orderstatus, o_orderpriority || o_custkey, o_custkey::VARCHAR][pos + 1] AS text,
+       ['<DIV CLASS=''order box'' data-k="a>b"><div class=status>' || o_orderstatus || '</div><!-- </div> --><Div class="box" >' || o_orderpriority || '<br><div>' || o_custkey || '</div></DIV> end</DIV >',
+        '<div class=status>' || o_orderstatus || '</div>', '<Div class="box" >' || o_orderpriority || '<br><div>' || o_custkey || '</div></DIV>', '<div>' || o_custkey || '</div>'][pos + 1] AS block
+FROM orders, (SELECT unnest(range(4)) AS pos)
+""")
+def x1_nested(t: Tables):
+    page = F.format_string(
+        "<!DOCTYPE html><script>'<div>'</script><DIV CLASS='order box' data-k=\"a>b\"><div class=status>%s</div><!-- </div> --><Div class=\"box\" >%s<br>"
+        "<div>%s</div></DIV> end</DIV ><p>tail", "o_orderstatus", "o_orderpriority", "o_custkey")
+    return S.explode_elements(t.orders.select("o_orderkey", page.alias("html")), "html", P.Selector("div"), ["o_orderkey"])
+
+
+# Texts written with named, decimal and hexadecimal references, in an attribute and as they are.
+@query("x3_references", """
+SELECT doc_id, md5(text) AS attribute, md5(text) AS text FROM documents
+""")
+def x3_references(t: Tables):
+    written = F.col("text")
+    for char, reference in (("&", "&amp;"), ("<", "&lt;"), ("'", "&#39;"), ("ü", "&uuml;"), ("é", "&#233;"), ("ß", "&#xDF;"), ("e", "&#x65;"), ("ñ", "&#XF1")):
+        written = F.replace(written, F.lit(char), F.lit(reference + ("" if reference.endswith(";") else ";")))
+    page = F.concat(F.lit("<a title=none><A data-x=1 TITLE='"), written, F.lit("'>x</a>"))
+    lexed = t.texts().select("doc_id", written.alias("written"), P.parsed(page).alias("page"))
+    link = P.first(F.col("page"), P.Selector("a", attribute=("data-x", "1")))
+    return lexed.select("doc_id", F.md5(P.attribute(link, "title")).alias("attribute"), F.md5(H.decode_entities("written")).alias("text"))
+
+
+# The first of four selectors that finds something: attribute, class of any tag, text in a set, words in the text.
+@query("x10_selectors", """
+SELECT o_orderkey, ['rating', 'answer', 'status', 'reply'][o_orderkey % 4 + 1] AS selector,
+       CASE o_orderkey % 4 WHEN 0 THEN o_custkey::VARCHAR WHEN 1 THEN o_orderpriority WHEN 2 THEN 'Çözüldü' ELSE 'Firma YANIT verdi: ' || o_orderstatus END AS text
+FROM orders
+""")
+def x10_selectors(t: Tables):
+    k = F.col("o_orderkey") % 4
+    part = (
+        F.when(k == 0, F.format_string("<b itemprop=name>no</b><I ItemProp='ratingValue'>%s</I>", "o_custkey"))
+        .when(k == 1, F.format_string("<aside class='x  brand-answer'>%s</aside>", "o_orderpriority"))
+        .when(k == 2, F.lit("<b>Çözüldü mü</b><div> <b> Çözüldü </b> </div>"))
+        .otherwise(F.format_string("<p>Firma YANIT verdi: %s", "o_orderstatus")))
+    page = F.concat(F.lit("<!-- itemprop=ratingValue --><div class=brand-answers><br></div>"), part)
+    lexed = t.orders.select("o_orderkey", P.parsed(page).alias("page"))
+    name, text = P.first_of(F.col("page"), [
+        ("rating", P.Selector(attribute=("itemprop", "ratingValue"))), ("answer", P.Selector(cls="brand-answer")),
+        ("status", P.Selector(("span", "div", "b"), within=("Çözüldü", "Beklemede"))), ("reply", P.Selector(("div", "p"), saying=("cevap", "yanıt", "yanit")))])
+    return lexed.select("o_orderkey", name.alias("selector"), text.alias("text"))
+
+
 MONTHS = "[" + ", ".join(f"'{m}'" for m in TURKISH_MONTHS) + "]"
 
 

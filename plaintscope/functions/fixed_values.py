@@ -56,7 +56,10 @@ TOP_CATEGORIES = 15
 TOP_FEATURES = 20
 TOP_WORDS = 100
 
-# Entities decoded in extracted HTML text, "&amp;" last so nothing decodes twice.
+# What the numeric references 128 to 159 stand for (those without a character for themselves).
+WINDOWS_1252 = "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”•–—˜™š›œ\x9džŸ"
+
+# Entities that the SQL of the page queries decodes, "&amp;" last so nothing decodes twice.
 HTML_ENTITIES = [
     ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
     ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"),

@@ -7,10 +7,10 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plaintscope.functions import fixed_values as fv
-from plaintscope.functions import html as H
+from plaintscope.functions import html as H, page as P
 from plaintscope.functions.dates import parse_tr_date
 from plaintscope.functions.scalars import absolute_url, resolution_status, safe_double, safe_int
-from plaintscope.functions.text import WS, strip
+from plaintscope.functions.text import WS, evaluate_once, strip
 
 
 def explode_blocks(pages: DataFrame, html: str, tag: str, cls: str | None = None, keep: list[str] = ()) -> DataFrame:
@@ -18,46 +18,76 @@ def explode_blocks(pages: DataFrame, html: str, tag: str, cls: str | None = None
     return pages.select(*keep, F.posexplode(H.blocks(html, tag, cls)).alias("pos", "block"))
 
 
+def explode_elements(pages: DataFrame, html: str, selector: P.Selector, keep: list[str] = ()) -> DataFrame:
+    """One row per matching element, nested ones too: place on the page (from 0), how many
+    elements it lies in, the element as it stands in the page, and its text.
+
+    Pages are lexed once; elements may hold their own kind and be written in any case."""
+    lexed = pages.select(*keep, F.col(html).alias("__html"), P.parsed(html).alias("__page"))
+
+    def told(page: Column) -> Column:
+        depth = lambda e: F.size(F.filter(page["elements"], lambda o: (o["at"] < e["at"]) & (o["at"] + o["inside"] >= e["at"])))
+        return F.transform(P.every(page, selector), lambda e: F.struct(
+            depth(e).alias("depth"), P.outer("__html", e).alias("block"), P.text_of(page, e).alias("text")))
+
+    return lexed.select(*keep, F.posexplode(evaluate_once(F.col("__page"), told)).alias("pos", "e")).select(*keep, "pos", "e.*")
+
+
 def list_cards(pages: DataFrame, html: str, operator: str, root: str, today: Column, keep: list[str] = ()) -> DataFrame:
-    """Complaint cards of list pages as typed rows."""
-    blocks = explode_blocks(pages, html, "article", fv.CARD, keep=[operator, *keep])
-    cards = blocks.select(
-        "*",
-        H.first_inner("block", "h2", fv.CARD_TITLE).alias("__head"),
-        H.strip_elements("block", "span", fv.CARD_PREVIEW_NOISE).alias("__preview"),
-    )
-    head, preview = F.col("__head"), F.col("__preview")
-    linked = head.rlike(H.opening("a"))
-    when = H.extract_text("block", "div", fv.CARD_TIME)
-    fields = cards.select(
-        *keep,
-        "pos",
-        F.col(operator).alias("operator"),
-        strip(H.extract_attr("block", "article", "data-id")).alias("id"),
-        when.alias("date_raw"),
-        H.extract_text("block", "span", fv.CARD_USER).alias("username"),
-        F.when(linked, H.extract_text(head, "a")).otherwise(F.coalesce(H.html_to_text(head), F.lit(""))).alias("title"),
-        H.extract_tags("block", "a", fv.CARD_KEYWORD).alias("keywords"),
-        F.coalesce(
-            H.extract_text(preview, "p", fv.CARD_PREVIEW, None, exact=False),
-            H.extract_text(preview, "a", fv.CARD_PREVIEW, None, exact=False),
-            F.lit(""),
-        ).alias("description_preview"),
-        safe_int(H.extract_text("block", "span", fv.CARD_VIEWS, exact=False)).alias("view_count"),
-        safe_int(H.extract_attr("block", "article", "data-upvoter-count")).alias("upvote_count"),
-        F.when(linked, H.extract_attr(head, "a", "href")).alias("url"),
-    )
-    return fields.withColumns({"date": parse_tr_date("date_raw", today), "url": absolute_url("url", root)})
+    """Complaint cards of list pages as typed rows. A page is lexed once; each card reads its
+    fields from the elements inside it."""
+    lexed = pages.select(*keep, operator, P.parsed(html).alias("__page"))
+
+    def fields(page: Column, card: Column) -> Column:
+        text = lambda selector: evaluate_once(P.first(page, selector, card), lambda e: F.coalesce(P.text_of(page, e), F.lit("")))
+
+        def titled(head: Column) -> Column:
+            link = P.first(page, P.Selector("a"), head)
+            return evaluate_once(link, lambda a: F.struct(
+                F.coalesce(P.text_of(page, a), P.text_of(page, head), F.lit("")).alias("title"), P.attribute(a, "href").alias("href")))
+
+        def shortened(preview: Column) -> Column:
+            noise = P.every(page, P.Selector("span", fv.CARD_PREVIEW_NOISE), preview)
+            return F.coalesce(P.text_without(page, preview, noise), F.lit(""))
+
+        previews = [P.first(page, P.Selector(tag, part=fv.CARD_PREVIEW), card) for tag in ("p", "a")]
+        return F.struct(
+            strip(F.coalesce(P.attribute(card, "data-id"), F.lit(""))).alias("id"),
+            text(P.Selector("div", part=fv.CARD_TIME)).alias("date_raw"),
+            text(P.Selector("span", fv.CARD_USER)).alias("username"),
+            evaluate_once(P.first(page, P.Selector("h2", fv.CARD_TITLE), card), titled).alias("head"),
+            P.tag_list(page, P.Selector("a", part=fv.CARD_KEYWORD), card).alias("keywords"),
+            evaluate_once(F.coalesce(*previews), shortened).alias("description_preview"),
+            text(P.Selector("span", part=fv.CARD_VIEWS)).alias("views"),
+            P.attribute(card, "data-upvoter-count").alias("upvotes"),
+        )
+
+    def cards(page: Column) -> Column:
+        return F.transform(P.every(page, P.Selector("article", part=fv.CARD)), lambda card: fields(page, card))
+
+    rows = lexed.select(*keep, operator, F.posexplode(evaluate_once(F.col("__page"), cards)).alias("pos", "card"))
+    card = F.col("card")
+    return rows.select(
+        *keep, "pos", F.col(operator).alias("operator"), card["id"].alias("id"), card["date_raw"].alias("date_raw"), card["username"].alias("username"),
+        card["head"]["title"].alias("title"), card["keywords"].alias("keywords"), card["description_preview"].alias("description_preview"),
+        safe_int(card["views"]).alias("view_count"), safe_int(card["upvotes"]).alias("upvote_count"),
+        absolute_url(F.coalesce(card["head"]["href"], F.lit("")), root).alias("url"), parse_tr_date(card["date_raw"], today).alias("date"))
 
 
 def detail_fields(pages: DataFrame, html: str, url: str) -> DataFrame:
-    """Full text, reply, status and rating of detail pages."""
-    return pages.select(
-        F.col(url).alias("url"),
-        F.coalesce(H.nested_text(html, fv.DETAIL_TEXT, "\n"), F.lit("")).alias("full_text"),
-        F.coalesce(H.nested_text(html, fv.DETAIL_REPLY, "\n"), F.lit("")).alias("company_reply"),
-        resolution_status(H.nested_text(html, fv.DETAIL_BADGE, exact=False)).alias("is_resolved"),
-        safe_double(H.nested_text(html, fv.DETAIL_RATING)).alias("satisfaction"),
+    """Full text, reply, status and rating of detail pages, from one lexer pass."""
+    lexed = pages.select(F.col(url).alias("url"), P.parsed(html).alias("__page"))
+    page = F.col("__page")
+
+    def text(sep: str, **of) -> Column:
+        return evaluate_once(P.first(page, P.Selector(**of)), lambda e: P.text_of(page, e, sep))
+
+    return lexed.select(
+        "url",
+        F.coalesce(text("\n", cls=fv.DETAIL_TEXT), F.lit("")).alias("full_text"),
+        F.coalesce(text("\n", cls=fv.DETAIL_REPLY), F.lit("")).alias("company_reply"),
+        resolution_status(text("", part=fv.DETAIL_BADGE)).alias("is_resolved"),
+        safe_double(text("", cls=fv.DETAIL_RATING)).alias("satisfaction"),
     )
 
 
