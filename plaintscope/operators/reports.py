@@ -21,9 +21,11 @@ STATEMENTS = {
 
 
 def _joined(rows: DataFrame, order: list[str], line: Column) -> DataFrame:
-    """All lines in order as one text. `rows` has a few rows per group."""
+    """All lines in order as one text: first those of each group, then the groups' texts."""
     packed = F.array_sort(F.collect_list(F.struct(*order, line.alias("line"))))
-    return rows.agg(F.array_join(packed["line"], "\n").alias("result"))
+    per_group = rows.groupBy("group_key").agg(F.array_join(packed["line"], "\n").alias("lines"))
+    texts = F.array_sort(F.collect_list(F.struct("group_key", "lines")))
+    return per_group.agg(F.array_join(texts["lines"], "\n").alias("result"))
 
 
 def topic_lines(counts: DataFrame) -> DataFrame:
@@ -92,9 +94,10 @@ def dashboard(df: DataFrame, group: str, resolved: Column, score: str, month: st
 
 
 def chart_tables(df: DataFrame, group: str, resolved: Column, score: str, month: str, reply: str, views: str,
-                 columns: list[str]) -> dict[str, DataFrame]:
-    """The table behind each standard chart, by chart name."""
-    return {
+                 columns: list[str], categories: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The table behind each standard chart, by chart name. `categories` is (group, category, n)
+    of the category chart, which is left out without it. Null view counts take no part in the boxes."""
+    charts = {
         "counts": P.value_counts(df, group),
         "resolved_rate": P.rate_by(df, group, resolved),
         "score_distribution": P.score_distribution(df, group, score),
@@ -105,3 +108,22 @@ def chart_tables(df: DataFrame, group: str, resolved: Column, score: str, month:
         "view_boxes": D.box_stats(df.withColumn("__v", clip_upper(views, F.lit(1000))), group, "__v"),
         "null_panel": P.null_panel(df, group, columns),
     }
+    return charts if categories is None else charts | {"categories": categories}
+
+
+def chart_rows(charts: dict[str, DataFrame], group: str, items: dict[str, str]) -> DataFrame:
+    """All charts in one long table (chart, group_key, item, measure, value).
+
+    `items` names for a chart the column that tells its points apart (a month, a score, a
+    category); a chart without one has one point a group, with a null item. Every other numeric
+    column is a measure; texts such as bands and labels follow from these.
+    """
+    numeric = ("int", "bigint", "double", "float", "smallint", "tinyint", "decimal")
+    rows = []
+    for name, table in charts.items():
+        item = items.get(name)
+        measures = [c for c, kind in table.dtypes if c not in (group, item) and kind.split("(")[0] in numeric]
+        wide = table.select(F.col(group).cast("string").alias("group_key"), (F.col(item).cast("string") if item else F.lit(None).cast("string")).alias("item"),
+                            *[F.col(m).cast("double").alias(m) for m in measures])
+        rows.append(wide.unpivot(["group_key", "item"], measures, "measure", "value").withColumn("chart", F.lit(name)))
+    return reduce(DataFrame.unionByName, rows).select("chart", "group_key", "item", "measure", "value")
