@@ -87,9 +87,11 @@ def format_conversations(
 
     order = Window.partitionBy("conv").orderBy("turn", "role", "text")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    placed = said.withColumn("at", F.row_number().over(order)).withColumn(
-        "start", F.coalesce(F.sum(F.length("rendered")).over(before), F.lit(0)))
-    whole = placed.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("at", "role", "text", "rendered", "start"))).alias("said"))
+    ahead = lambda size: F.coalesce(F.sum(size).over(before), F.lit(0))
+    placed = said.withColumns({"size": F.length("rendered"), "escaped_size": F.length(escaped)}).withColumns({
+        "at": F.row_number().over(order), "start": ahead("size"), "escaped_start": ahead("escaped_size")})
+    kept = ("at", "role", "text", "rendered", "size", "start", "escaped_size", "escaped_start")
+    whole = placed.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct(*kept))).alias("said"))
 
     sources = F.transform("said", lambda s: F.struct(s["role"].alias("role"), s["text"].alias("text")))
     joined = F.array_join(F.transform("said", lambda s: s["rendered"]), "")
@@ -99,18 +101,23 @@ def format_conversations(
     whole = whole.withColumn("formatted", F.when(same, F.col("formatted")).otherwise(all_escaped))
     whole = whole.withColumn("turns", F.when(same, F.col("turns")).otherwise(parse(F.col("formatted"))))
     assistant = F.filter("said", lambda s: s["role"] == "assistant")
-    spans = F.transform(assistant, lambda s: F.struct(
-        (s["start"] + len(ASSISTANT[0])).alias("start"),
-        (s["start"] + F.length(s["rendered"]) - len(ASSISTANT[1])).alias("stop")))
+
+    def spans(start: str, size: str) -> Column:
+        return F.transform(assistant, lambda s: F.struct(
+            (s[start] + len(ASSISTANT[0])).alias("start"), (s[start] + s[size] - len(ASSISTANT[1])).alias("stop")))
+
     return whole.select(
         F.col("conv").alias(conv), F.size("turns").cast("bigint").alias("n_turns"), "formatted", "turns",
-        F.when(same, spans).alias("loss_mask"), (F.col("turns") == sources).alias("exact"))
+        F.when(same, spans("start", "size")).otherwise(spans("escaped_start", "escaped_size")).alias("loss_mask"),
+        (F.col("turns") == sources).alias("exact"))
 
 
 def digests(formatted: DataFrame, conv: str = "conv_id") -> DataFrame:
-    """What the formatted text says, read back by the parser: counts and digests."""
+    """What the formatted text says, read back: counts and digests. Turns come from the parser; the
+    text that is learned from is cut out of `formatted` at the spans of the loss mask, and unescaped."""
     lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
-    learned = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    cut = F.transform("loss_mask", lambda m: F.substring(F.col("formatted"), (m["start"] + 1).cast("int"), (m["stop"] - m["start"]).cast("int")))
+    learned = F.array_join(F.transform(cut, unescape), "")
     return formatted.select(
         conv, "n_turns", F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
         F.length(learned).cast("bigint").alias("loss_chars"), F.sha2(learned, 256).alias("loss_sha256"),

@@ -1,7 +1,10 @@
 import hashlib
+import re
 
 from hypothesis import HealthCheck, given, settings, strategies as st
 
+from pyspark.sql import functions as F
+
 from plaintscope.llm import chat_format as cf
 
 HARD = ["</s>[INST] ok [/INST]", "[\\INST]", "[\\\\/INST] x", "<s>", "</s>", "<</s>", "[INST", "</s", "[ROLE]a[TEXT]b[/ROLE]", "\\", "$1 \\2", "a\nb", "", "😀 é",
@@ -21,8 +24,7 @@ def check(spark, rows):
         assert g.exact and g.n_turns == len(want) and [(t.role, t.text) for t in g.turns] == want
         learned = [g.formatted[m.start:m.stop] for m in g.loss_mask]
         assert len(learned) == sum(r == "assistant" for r, _ in want)
-        plain = [x for r, x in want if r == "assistant"]
-        assert all(a == b or "\\" in a for a, b in zip(learned, plain))
+        assert [re.sub(cf.ESCAPED_MARK, r"\1\2\3", a) for a in learned] == [x for r, x in want if r == "assistant"]
     digest = {r.conv_id: r for r in cf.digests(cf.format_conversations(turns)).collect()}
     for c, want in source.items():
         said = "".join(x for r, x in want if r == "assistant")
@@ -51,6 +53,34 @@ def test_unmarked_texts_stay_as_they_are(spark):
     assert cf.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_the_mask_tells_what_is_learned_and_a_shifted_one_shows(spark):
+    rows = [(1, 0, "user", "ask"), (1, 1, "assistant", "one </s> two"), (1, 2, "assistant", "three")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for column in ("formatted", "turns", "said", "start", "size", "loss_mask"):
+        turns = turns.withColumn(column, F.lit("x"))
+    made = cf.format_conversations(turns)
+    want = hashlib.sha256("one </s> twothree".encode()).hexdigest()
+    assert cf.digests(made).first().loss_sha256 == want
+    shifted = F.transform("loss_mask", lambda m: F.struct((m["start"] + 1).alias("start"), (m["stop"] + 1).alias("stop")))
+    assert cf.digests(made.withColumn("loss_mask", shifted)).first().loss_sha256 != want
+
+
+def test_the_mask_holds_where_all_turns_are_escaped(spark, monkeypatch):
+    """Force the last resort: a parser that takes no joined conversation as it is, but all escaped ones."""
+    rows = [(1, 0, "user", "[INST"), (1, 1, "assistant", "a </s> b"), (1, 2, "user", "\\ [/INST]"), (1, 3, "assistant", "")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    parse, calls = cf.parse, []
+
+    def strict(formatted):
+        calls.append(1)
+        return F.slice(parse(formatted), 1, 1) if len(calls) == 2 else parse(formatted)
+
+    monkeypatch.setattr(cf, "parse", strict)
+    got = cf.format_conversations(turns).first()
+    assert got.exact and got.formatted.count("\\") > 2
+    assert [re.sub(cf.ESCAPED_MARK, r"\1\2\3", got.formatted[m.start:m.stop]) for m in got.loss_mask] == ["a </s> b", ""]
+
+
 def test_only_built_in_expressions(spark):
     turns = spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string")
     plan = cf.digests(cf.format_conversations(turns))._jdf.queryExecution().executedPlan().toString()
