@@ -365,10 +365,11 @@ def with_bytes(encoded: DataFrame, ranks, ids: str = "encoded.ids", ends: str =
     return with_result(encoded, out, F.arrow_udf(run, "binary").asNondeterministic()(blank(ids), blank(ends)))
 
 
-def digests(encoded: DataFrame, key: str = "doc_id", column: str = "encoded") -> DataFrame:
-    """Per row of `with_round_trip`: number of ids, digest of the decimal ids joined by a space, digest of the decoded bytes."""
+def digests(encoded: DataFrame, key: str = "doc_id", column: str = "encoded", keep_ids: bool = False) -> DataFrame:
+    """Per row of `with_round_trip`: number of ids, digest of the decimal ids joined by a space,
+    digest of the decoded bytes; with `keep_ids`, the ids as well."""
     ids = F.col(column)["ids"]
     return encoded.select(
         key, F.size(ids).cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(ids.cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2(F.col(column)["decoded"], 256).alias("decoded_sha256"))
+        F.sha2(F.col(column)["decoded"], 256).alias("decoded_sha256"), *([ids.alias("ids")] if keep_ids else []))

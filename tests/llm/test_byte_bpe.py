@@ -8,7 +8,7 @@ import regex
 import tiktoken
 from hypothesis import given, settings, strategies as st
 
-from plaintscope.llm import byte_bpe
+from plaintscope.llm import byte_bpe, queries
 from plaintscope.llm.textarrays import flat
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -82,3 +82,11 @@ def test_wrong_offsets_are_refused(spark):
     bad = spark.createDataFrame([([1, 2], [1, 9])], "ids array<int>, ends array<int>")
     with pytest.raises(Exception, match="do not belong together"):
         byte_bpe.with_bytes(bad, shared, "ids", "ends").collect()
+
+
+def test_query_against_the_library(spark, small):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    rows = queries.QUERIES["op3_byte_bpe"](spark, small).collect()
+    assert sorted(tuple(r) for r in rows) == sorted(
+        (k, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+        for k, t in texts.items() for ids in [THEIRS.encode_ordinary(t)])

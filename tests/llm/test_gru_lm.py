@@ -41,7 +41,7 @@ def test_counts_and_base_against_brute_force(spark, small, monkeypatch, head):
     got = queries.QUERIES["op9_gru_lm"](spark, small).collect()
     check(rows, got)
     out = [r for r in got if r.held_out]
-    assert sum(r.score for r in out) > 1.05 * sum(r.base_score for r in out)  # close to or above the base (both negative)
+    assert sum(r.score for r in out) > 0.99 * sum(r.base_score for r in out)  # both negative: better than the counts by 1 % at least
 
 
 def test_cases(spark):
@@ -72,6 +72,35 @@ def test_gradient_is_that_of_the_likelihood():
         assert (moved[0] - moved[1]) / 2e-2 == pytest.approx(gradient[k], rel=0.03, abs=2e-3)
 
 
+def test_scores_are_those_of_a_plain_network_step_by_step():
+    texts = pa.array(["a b c zz a b " * 15, "", "b a d d", "q"])
+    value, n = np.unique(gru_lm.tokens(pa.array(["a b c a b a d e f a"]))[0], return_counts=True)
+    head = gru_lm.Head(value, n, int(n.sum()), len(value))
+    vector = gru_lm.initial(head)
+    vector += np.random.default_rng(6).normal(size=len(vector)).astype(np.float32) * 0.2
+    p = {k: v.astype(np.float64) for k, v in gru_lm.unpack(vector).items()}
+    s, found = gru_lm.SIZE, gru_lm.score_piece(texts, head, gru_lm.Gru(vector)).column("model").to_pylist()
+    logistic = lambda x: 1 / (1 + np.exp(-x))
+    for text, got in zip(texts.to_pylist(), found):
+        values, _ = gru_lm.tokens(pa.array([text]))
+        ranks, state, before, total = head.ranks(values), np.zeros(s), np.array([gru_lm.END]), 0.0
+        for value, rank in zip(values, ranks):
+            own = int(head.inputs(before, head.ranks(before))[0])
+            x, u = p["vectors"][own] @ p["into"] + p["into_bias"], state @ p["over"]
+            z, r = logistic(x[:s] + u[:s]), logistic(x[s:2 * s] + u[s:2 * s])
+            state = (1 - z) * np.tanh(x[2 * s:] + r * (u[2 * s:] + p["over_bias"])) + z * state
+            logits = state @ p["classes"] + p["class_bias"]
+            kind = rank // gru_lm.CLASS_WORDS if 0 <= rank < gru_lm.OUTPUT_WORDS else gru_lm.CLASSES
+            total += logits[kind] - np.log(np.exp(logits - logits.max()).sum()) - logits.max()
+            if kind < gru_lm.CLASSES:
+                inner = state @ p["words"][kind] + p["word_bias"][kind]
+                total += inner[rank % gru_lm.CLASS_WORDS] - np.log(np.exp(inner - inner.max()).sum()) - inner.max()
+            else:
+                total += (np.log(head.counts[rank] + 1.0) if rank >= 0 else 0) - np.log(head.rest)
+            before = np.array([value])
+        assert got == pytest.approx(total, rel=1e-4, abs=1e-3)
+
+
 def test_probabilities_sum_to_one():
     value, n = np.unique(gru_lm.tokens(pa.array(["a b c a"]))[0], return_counts=True)
     head = gru_lm.Head(value, n, 5, len(value))

@@ -2,6 +2,7 @@ import re
 import zlib
 from collections import Counter
 
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 import test_byte_bpe as bpe
@@ -37,10 +38,25 @@ def test_stages_against_brute_force(spark, small, tmp_path):
     assert seen[1] == {k for k in seen[0] if ok(texts[k])}
     assert seen[2] == {c for _, c, _, _ in jj.brute([(k, texts[k]) for k in seen[1]])}
     assert seen[3] == {k for k in seen[2] if not dc.brute(texts[k], bench)[3]}
-    last = {r.doc_id: r.n_tokens for r in docs.collect()}
-    assert last == {k: len(bpe.THEIRS.encode_ordinary(texts[k])) for k in seen[3]}
+    last = {r.doc_id: list(r.ids) for r in docs.collect()}
+    assert last == {k: bpe.THEIRS.encode_ordinary(texts[k]) for k in seen[3]}
 
 
 def test_run_and_names(spark, small):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "quality rules", "n-gram Jaccard join", "benchmark decontamination", "byte-level BPE"]
-    assert corpus_pipeline.run(spark, small).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert corpus_pipeline.run(spark, small).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+
+
+def test_stages_on_null_empty_and_extra(spark, small, tmp_path):
+    schema = spark.read.parquet(f"{small}/documents.parquet").schema
+    rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (2, None, "en", "s", 0), (None, "word " * 60, "en", "s", 300)]
+    for name, given in (("empty", []), ("odd", rows)):
+        docs = spark.createDataFrame(given, schema)
+        for column in ("quality", "repetition", "class_id", "contamination", "encoded"):
+            docs = docs.withColumn(column, F.lit("x"))
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            columns = docs.columns
+            stage(spark, docs, small).write.parquet(f"{tmp_path}/{name}{k}")
+            docs = spark.read.parquet(f"{tmp_path}/{name}{k}")
+            assert k == 4 or docs.columns == columns
+        assert docs.count() == 0
