@@ -2,7 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir), works on every row its predecessor kept and returns a
 DataFrame; `run` writes it as Parquet below the shared checkpoint folder and reads it back for
-the next one. All stages but the last return the columns of documents.
+the next one. All stages but the last return the columns of documents; the last one returns ids.
+
+Null and empty texts are documents like others in every stage (the quality rules drop them, as
+they have too few words); rows without an id are judged like others, and a stage that names rows by
+id tells such rows apart by their texts; extra columns, whatever their names, are carried along up
+to the last stage; an empty table passes all stages as an empty one.
 """
 
 from __future__ import annotations
@@ -37,9 +42,9 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document with digests of ids and decoded bytes."""
+    """Token ids of every document, for a trainer to read, with digests of ids and decoded bytes."""
     ranks = byte_bpe.share_ranks(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return byte_bpe.digests(byte_bpe.with_round_trip(docs, ranks))
+    return byte_bpe.digests(byte_bpe.with_round_trip(docs, ranks), keep_ids=True)
 
 
 STAGES = [
