@@ -2,19 +2,62 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.ml.feature import StopWordsRemover
 
 from plaintscope.functions import fixed_values as fv
 from plaintscope.functions.text import remove_stops, strip
 from plaintscope.operators.ordered import top_per_group
-from plaintscope.session import cols, small_side, stage
+from plaintscope.session import cols, stage
 
 
 # Stop tables up to this size are used as a set of literals: another plan, the same rows.
 LISTED_TERMS = 5_000
 
 
+# Tables of so many rows and bytes travel to the tasks; of a larger one only what occurs in the text.
+LOOKUP_ROWS, LOOKUP_BYTES = 1_000_000, 64 << 20
+
+
+def _in_tasks(table: DataFrame, max_rows: int):
+    """A broadcast of the table's columns as Arrow arrays; None if it is too large."""
+    size = table.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(sum(F.coalesce(F.octet_length(c), F.lit(0)) for c in table.columns)), F.lit(0))).first()
+    if size[0] > max_rows or size[1] > LOOKUP_BYTES:
+        return None
+    held = table.toArrow()
+    return table.sparkSession.sparkContext.broadcast([held.column(c).combine_chunks() for c in table.columns])
+
+
+def _lookup(df: DataFrame, tokens: str, table: DataFrame, max_rows: int):
+    """The table for the tasks (see `_in_tasks`), or, of a larger one, its rows for the distinct
+    tokens of `df`; None if these are too many as well. `table` has a column `token`."""
+    shared = _in_tasks(table, max_rows)
+    if shared is None:
+        said = df.select(F.explode(tokens).alias("token")).distinct()
+        shared = _in_tasks(stage(table.join(said, "token", "left_semi")), max_rows)
+    return shared
+
+
+def _changed(df: DataFrame, tokens: str, shared, change) -> DataFrame:
+    """`df` with new token arrays, made where the rows are. `change` gets a batch's tokens and the
+    table's columns, and returns the new tokens and which of the old ones stay."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            flat, lengths = batch.flatten(), batch.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            values, stays = change(flat, *shared.value)
+            ends = np.concatenate(([0], np.cumsum(lengths)))
+            offsets = np.concatenate(([0], np.cumsum(stays)))[ends].astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(offsets), values, mask=batch.is_null())
+
+    return df.withColumn(tokens, F.arrow_udf(run, "array<string>").asNondeterministic()(F.col(tokens)))
+
+
 def _rewrite(df: DataFrame, tokens: str, change) -> DataFrame:
     """Explode token arrays, let `change` filter or rename `token`, put them back in order.
 
@@ -34,29 +77,46 @@ def _rewrite(df: DataFrame, tokens: str, change) -> DataFrame:
     return joined.select(*[changed.alias(c) if c == tokens else F.col(c) for c in df.columns])
 
 
-def drop_tokens(df: DataFrame, tokens: str, stops: DataFrame, term: str = "term", max_listed: int = LISTED_TERMS) -> DataFrame:
+def drop_tokens(df: DataFrame, tokens: str, stops: DataFrame, term: str = "term", max_listed: int = LISTED_TERMS,
+                max_rows: int = LOOKUP_ROWS) -> DataFrame:
     """Remove stop words held in a table of any size; repeats of other tokens, null tokens and
     null arrays stay.
 
-    A table of up to `max_listed` terms becomes a set inside the expression and no text
-    moves. A larger one is anti-joined; both give the same rows.
+    A table of up to `max_listed` terms becomes a set inside the expression; a larger one travels
+    to the tasks, cut to what occurs in the text if it must be. In neither case does a text move.
+    Only if more than `max_rows` of its terms occur are the tokens anti-joined. All give the same
+    rows.
     """
     terms = stage(stops.select(F.col(term).alias("token")).filter(F.col(term).isNotNull()).distinct())
     listed = terms.limit(max_listed + 1).collect()
     if len(listed) <= max_listed:
         return df.withColumn(tokens, remove_stops(tokens, [r.token for r in listed]))
-    lookup = small_side(terms)
-    return _rewrite(df, tokens, lambda long: long.join(lookup, "token", "left_anti"))
+    shared = _lookup(df, tokens, terms, max_rows)
+    if shared is None:
+        return _rewrite(df, tokens, lambda long: long.join(terms, "token", "left_anti"))
+
+    def change(flat: pa.Array, stop: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        stays = pc.index_in(flat, value_set=stop, skip_nulls=True).is_null()
+        return flat.filter(stays), stays.to_numpy(zero_copy_only=False)
 
+    return _changed(df, tokens, shared, change)
 
-def apply_stems(df: DataFrame, tokens: str, stems: DataFrame) -> DataFrame:
-    """Replace each token by its stem from a (token, stem) table; unknown tokens stay."""
-    lookup = small_side(stage(stems.groupBy("token").agg(F.min("stem").alias("stem"))))
 
-    def change(long: DataFrame) -> DataFrame:
-        return long.join(lookup, "token", "left").select("__row", "at", F.coalesce("stem", "token").alias("token"))
+def apply_stems(df: DataFrame, tokens: str, stems: DataFrame, max_rows: int = LOOKUP_ROWS) -> DataFrame:
+    """Replace each token by its stem from a (token, stem) table; unknown tokens stay.
+
+    The table travels to the tasks, cut to the tokens that occur if it must be, and no text moves.
+    Only if more than `max_rows` of its tokens occur are the tokens joined instead.
+    """
+    table = stage(stems.filter(F.col("token").isNotNull()).groupBy("token").agg(F.min("stem").alias("stem")))
+    shared = _lookup(df, tokens, table, max_rows)
+    if shared is None:
+        return _rewrite(df, tokens, lambda long: long.join(table, "token", "left").select("__row", "at", F.coalesce("stem", "token").alias("token")))
+
+    def change(flat: pa.Array, token: pa.Array, stem: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        return pc.coalesce(stem.take(pc.index_in(flat, value_set=token, skip_nulls=True)), flat), np.ones(len(flat), np.int64)
 
-    return _rewrite(df, tokens, change)
+    return _changed(df, tokens, shared, change)
 
 
 def stem_with(tokens: Column, stemmer) -> Column:
