@@ -4,7 +4,8 @@ import random
 
 import pytest
 
-from plaintscope.operators import tokens as K
+from plaintscope.operators import features as X, tokens as K
+from plaintscope.session import stage
 
 RNG = random.Random(5)
 WORDS = [f"w{k}" for k in range(40)]
@@ -44,3 +45,17 @@ def test_texts_do_not_move(spark, docs):
     table = spark.createDataFrame([("w1", "x")], "token string, stem string")
     plan = K.apply_stems(docs[1], "words", table)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") <= 1  # that of the test's own repartition
+
+
+def test_large_vocabularies_give_the_same_counts_and_weights(spark):
+    rows = [(f"g{k % 30}" if k % 30 else None, k, [RNG.choice(WORDS) for _ in range(25)]) for k in range(300)]
+    df = spark.createDataFrame(rows, "g string, id int, words array<string>").repartition(5)
+    vocab = stage(X.vocabulary(df, "g", "words", min_df=2, max_share=1.0))
+    weights = stage(X.tfidf_vocabulary(df, "g", "words"))
+    plain = lambda d: sorted((str(r.g), r.id, r.term, round(float(r[3]), 9)) for r in d.collect())
+    small, large = (X.bag_of_words(df, "g", "id", "words", vocab, max_rows=n) for n in (100_000, 200))
+    assert vocab.count() > 400 and plain(small) == plain(large)
+    assert plain(X.tfidf(df, "g", "id", "words", weights)) == plain(X.tfidf(df, "g", "id", "words", weights, max_rows=200))
+    want = {(str(g), i, w): ws.count(w) for g, i, ws in rows for w in ws}
+    known = {(str(r.g), r.term) for r in vocab.collect()}
+    assert {(g, i, w): int(n) for g, i, w, n in plain(small)} == {k: n for k, n in want.items() if (k[0], k[2]) in known}
