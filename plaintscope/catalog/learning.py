@@ -193,3 +193,17 @@ def m6_score(t: Tables):
     side = F.when(F.col("score") > F.when(margin, 0.0).otherwise(0.5), 1).otherwise(0)
     fits = (side == F.col("predicted")) & (margin | F.col("score").between(0, 1))
     return rows.select("group_key", "model", "doc_id", "truth", fits.alias("scored"))
+
+
+# The label follows from one word of the name: every solver must find it in every group.
+@query("m3_planted", """
+SELECT group_key, model, TRUE AS found FROM (SELECT DISTINCT 'g' || p_partkey % 2 AS group_key FROM part), (VALUES ('logistic_regression'), ('random_forest'), ('linear_svm')) v(model)
+""")
+def m3_planted(t: Tables):
+    label = (F.col("p_size") % 2).cast("int")
+    told = F.when(label == 1, "solved").otherwise("open")
+    group = F.concat(F.lit("g"), (F.col("p_partkey") % 2).cast("string")).alias("g")
+    docs = t.part.select(group, "p_partkey", label.alias("y"), F.concat(F.split("p_name", " "), F.array(told)).alias("words"))
+    results = M.train_grid(docs, "g", "p_partkey", "y", "words", min_docs=10, trees=30, depth=8, folds=0)
+    board = M.leaderboard(results)
+    return board.select("group_key", "model", ((F.col("accuracy") > 0.95) & (F.col("auc") > 0.95)).alias("found"))
