@@ -1,10 +1,12 @@
 """Ranked lexical search by hashed max-sketches.
 
 Index: one row a document with its number of terms, a sketch, and its terms (64-bit hashes) with
-their counts. A coordinate of the sketch is the largest count among the terms that hash to it. A
-term's impact rises with its count in the document, so the impact of that maximum is the maximum
-of the impacts, whatever the corpus statistics are by the time of the search. A sketch is at least
-four times as wide as the document has distinct terms, so few terms share a coordinate.
+their counts. The sketch has two rows of coordinates, each by other bits of the hash; a coordinate
+is the largest count among the terms that hash to it. A term's impact rises with its count in the
+document, so the impact of that maximum is the maximum of the impacts, whatever the corpus
+statistics are by the time of the search. A row is at least eight times as wide as the document
+has distinct terms, and the lesser of a term's two coordinates bounds its count, so a term that the
+document lacks seldom adds to the bound.
 
 Search: items are searched in blocks. A task looks up the coordinates of all terms of a block in
 its sketches at once; weighted sums give an upper bound of every (document, item) score. For each
@@ -27,7 +29,8 @@ from plaintscope.llm.textarrays import ALNUM, LOWER, Words, flat, mix, pieces
 from plaintscope.session import checkpoint_dir
 
 BEST = 10
-LOAD = 4               # coordinates a distinct term, at least
+ROWS = 2               # of coordinates in a sketch
+LOAD = 8               # coordinates a distinct term in each row, at least
 LEAST_WIDTH = 64
 UNBOUNDED = 255        # a count the sketch does not hold: its impact counts as the largest possible
 LARGEST = 1_000_000    # no impact reaches it
@@ -50,16 +53,21 @@ def terms_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return words.per_text, words.text[first], value[first], counts[order]
 
 
+def coordinate(terms: np.ndarray, width: np.ndarray | int, row: int) -> np.ndarray:
+    """Place of each term in a row of a sketch, whose width is a power of two."""
+    return ((terms >> np.uint64(32 * row)) & np.asarray(width - 1, np.uint64)).astype(np.int64)
+
+
 def sketches(text: np.ndarray, terms: np.ndarray, counts: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
-    """(all sketches one after the other, their offsets)."""
+    """(all sketches one after the other, row after row, their offsets)."""
     distinct = np.bincount(text, minlength=texts)
     width = np.full(texts, LEAST_WIDTH, np.int64)
     wide = distinct * LOAD > LEAST_WIDTH
     width[wide] = 1 << np.ceil(np.log2(distinct[wide] * LOAD)).astype(np.int64)
-    offsets = np.concatenate(([0], np.cumsum(width)))
-    found = np.zeros(offsets[-1], np.uint8)
-    place = offsets[text] + (terms & (width[text] - 1).astype(np.uint64)).astype(np.int64)
-    np.maximum.at(found, place, np.minimum(counts, UNBOUNDED).astype(np.uint8))
+    offsets = np.concatenate(([0], np.cumsum(ROWS * width)))
+    found, held = np.zeros(offsets[-1], np.uint8), np.minimum(counts, UNBOUNDED).astype(np.uint8)
+    for row in range(ROWS):
+        np.maximum.at(found, offsets[text] + row * width[text] + coordinate(terms, width[text], row), held)
     return found, offsets
 
 
@@ -172,8 +180,8 @@ class Documents:
 
     def bounds(self, rows: np.ndarray, width: int, weights: np.ndarray) -> np.ndarray:
         """Upper bounds of the scores (row, item) of documents whose sketches have this width."""
-        table = np.concatenate([self.sketch[a:a + width] for a in self.sketch_at[rows]]).reshape(-1, width)
-        counts = table[:, (self.block.terms & np.uint64(width - 1)).astype(np.int64)]
+        table = np.concatenate([self.sketch[a:a + ROWS * width] for a in self.sketch_at[rows]]).reshape(-1, ROWS, width)
+        counts = np.minimum.reduce([table[:, row][:, coordinate(self.block.terms, width, row)] for row in range(ROWS)])
         value = counts.astype(np.float32)
         value /= 1000 * value + 8 * self.middle[rows, None].astype(np.float32)
         value *= 1_000_000_000
@@ -193,10 +201,10 @@ class Documents:
 
     def search(self, best: Best, weights: np.ndarray) -> int:
         """Add the best documents; returns how many (document, item) scores were computed exactly."""
-        widths, scored = np.diff(self.sketch_at), 0
+        widths, scored = np.diff(self.sketch_at) // ROWS, 0
         for width in np.unique(widths):
             same = np.flatnonzero(widths == width)
-            step = max(1, CELLS // max(len(self.block.terms), int(width), len(self.block.columns)))
+            step = max(1, CELLS // max(len(self.block.terms), ROWS * int(width), len(self.block.columns)))
             for k in range(0, len(same), step):
                 scored += self.rescore(same[k:k + step], self.bounds(same[k:k + step], int(width), weights), best)
         return scored

@@ -109,7 +109,7 @@ def test_bounds_hold_and_spare_work():
     for item, columns in enumerate(block.columns):
         weights[columns, item] = block.weight[columns] * block.times[item]
     exact = docs.exact(np.arange(len(texts))).astype(np.int64) @ weights.astype(np.int64)
-    widths = np.diff(docs.sketch_at)
+    widths = np.diff(docs.sketch_at) // ls.ROWS
     for width in np.unique(widths):
         rows = np.flatnonzero(widths == width)
         assert (docs.bounds(rows, int(width), weights) >= exact[rows]).all()
