@@ -4,7 +4,7 @@ Index: one row a document with its number of terms, a sketch, and its terms (64-
 their counts. The sketch has two rows of coordinates, each by other bits of the hash; a coordinate
 is the largest count among the terms that hash to it. A term's impact rises with its count in the
 document, so the impact of that maximum is the maximum of the impacts, whatever the corpus
-statistics are by the time of the search. A row is at least eight times as wide as the document
+statistics are by the time of the search. A row is at least four times as wide as the document
 has distinct terms, and the lesser of a term's two coordinates bounds its count, so a term that the
 document lacks seldom adds to the bound.
 
@@ -30,13 +30,13 @@ from plaintscope.session import checkpoint_dir
 
 BEST = 10
 ROWS = 2               # of coordinates in a sketch
-LOAD = 8               # coordinates a distinct term in each row, at least
+LOAD = 4               # coordinates a distinct term in each row, at least
 LEAST_WIDTH = 64
 UNBOUNDED = 255        # a count the sketch does not hold: its impact counts as the largest possible
 LARGEST = 1_000_000    # no impact reaches it
 BLOCK_ITEMS = 256      # items searched in one pass, about ...
 BLOCK_BYTES = 1 << 20  # ... and bytes of their text
-CELLS = 1 << 23        # (document, term) pairs whose bounds are computed at once
+CELLS = 1 << 22        # (document, term) pairs whose bounds are computed at once
 FIRST = 16             # documents scored exactly for an item before the threshold is looked at again
 INDEX = "key bigint, n bigint, sketch binary, terms binary, counts binary"
 
