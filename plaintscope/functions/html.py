@@ -51,21 +51,32 @@ def decode_entities(c: Column | str) -> Column:
     decoded again; an unknown name stays as it is."""
     c = _c(c)
     pieces = F.split(c, "&")
-    later = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), _decoded)
-    return F.when(F.contains(c, F.lit("&")), F.concat(pieces[0], F.array_join(later, ""))).otherwise(c)
+    later = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
+    refs = F.transform(later, lambda p: F.regexp_extract(p, _REFERENCE, 1))
 
+    def decoded(refs: Column) -> Column:
+        few = F.array_distinct(F.slice(refs, 1, F.least(F.size(refs), F.lit(REFERENCES_READ))))
+        known = F.map_from_arrays(F.slice(few, 1, REFERENCES_KEPT), F.transform(F.slice(few, 1, REFERENCES_KEPT), _meaning))
+        return evaluate_once(known, lambda known: F.zip_with(later, refs, lambda piece, ref: _decoded(piece, ref, known)))
 
-def _decoded(piece: Column) -> Column:
+    return F.when(F.contains(c, F.lit("&")), F.concat(pieces[0], F.array_join(evaluate_once(refs, decoded), ""))).otherwise(c)
+
+
+REFERENCES_READ, REFERENCES_KEPT = 1_000, 16  # of a text's references, those whose characters are looked up
+
+
+def _decoded(piece: Column, ref: Column, known: Column) -> Column:
     """What follows an ampersand, with the reference that it begins with as its character."""
+    char = F.when(F.map_contains_key(known, ref), F.try_element_at(known, ref)).otherwise(_meaning(ref))
+    rest = F.substr(piece, F.length(ref) + 1)
+    return evaluate_once(char, lambda found: F.coalesce(F.concat(found, rest), F.concat(F.lit("&"), piece)))
 
-    def build(ref: Column) -> Column:
-        digits = F.regexp_replace(ref, "[#;]", "")
-        number = F.when(F.lower(digits).startswith("x"), F.conv(F.substring(digits, 2, 20), 16, 10)).otherwise(digits).cast("bigint")
-        char = F.when(ref.startswith("#"), evaluate_once(number, _character)).otherwise(F.try_element_at(_names(), F.rtrim(ref, F.lit(";"))))
-        rest = F.substr(piece, F.length(ref) + 1)
-        return evaluate_once(char, lambda found: F.coalesce(F.concat(found, rest), F.concat(F.lit("&"), piece)))
 
-    return evaluate_once(F.regexp_extract(piece, _REFERENCE, 1), build)
+def _meaning(ref: Column) -> Column:
+    """The character of a reference (without its ampersand); null for none."""
+    digits = F.regexp_replace(ref, "[#;]", "")
+    number = F.when(F.lower(digits).startswith("x"), F.conv(F.substring(digits, 2, 20), 16, 10)).otherwise(digits).cast("bigint")
+    return F.when(ref.startswith("#"), evaluate_once(number, _character)).otherwise(F.try_element_at(_names(), F.rtrim(ref, F.lit(";"))))
 
 
 def _character(number: Column) -> Column:

@@ -88,3 +88,17 @@ def test_a_long_page_takes_one_pass():
     page = "<div>" * 20_000 + "x" + "</div>" * 20_000
     tags, places, texts = P.lex(page)
     assert len(tags) == 20_000 and places[0][4] == len(page) and places[-1][8] == 1
+
+
+def test_each_reference_is_decoded_once_and_as_html_says(spark, monkeypatch):
+    text = "a&amp;lt;b &#x65;&#101; &notit; &bogus; &" * 200 + "".join(f"&#{k};" for k in range(900, 960))
+    want = references.unescape(text)
+    calls = []
+    monkeypatch.setattr(P, "_REFERENCES", type(P._REFERENCES)())
+    monkeypatch.setattr(P.references, "unescape", lambda t, plain=references.unescape: calls.append(t) or plain(t))
+    assert P.unescape(text) == want
+    assert len(calls) == len(set(calls)) < 80
+    monkeypatch.undo()
+    plain = text.replace("&notit;", "")  # the column decodes names with their semicolon only
+    rows = spark.createDataFrame([(plain,), ("&amp;" * 1200 + "&lt;",), (None,)], "t string").select(H.decode_entities("t").alias("d")).collect()
+    assert [r.d for r in rows] == [references.unescape(plain), "&" * 1200 + "<", None]
