@@ -8,7 +8,7 @@ The model is a GRU in numpy. Its output is factored: a class given the state, th
 the class and the state. OUTPUT_WORDS of the commonest words fill classes of CLASS_WORDS; one
 class more stands for every other word, whose share inside it is (c + 1) / (N' + V' + 1) by the
 counts. Training is back-propagation truncated to WINDOW tokens, the state carried on to the
-next window. The training texts are parted by hash into ROUNDS shares, one a round, so the network
+next window of a segment of a text. The training texts are parted by hash into ROUNDS shares, one a round, so the network
 learns from each text once. Every task of a round trains on its texts from the same start, the
 parameters are averaged by tokens over all tasks, and the next round begins from the average.
 The texts of a round are dealt over tasks by their volume, so a task has TASK_TOKENS to learn
@@ -17,6 +17,7 @@ from, however the input is parted.
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 
@@ -34,7 +35,8 @@ OUTPUT_WORDS = CLASSES * CLASS_WORDS
 RARE_INPUTS = 128       # input vectors shared by all other words, by hash
 SIZE = 24               # of word vectors and of the state
 WINDOW = 32             # tokens of truncated back-propagation
-BATCH = 96              # texts trained side by side
+SEGMENT = 64 * WINDOW   # tokens of a text that are learned from one after the other
+BATCH = 96              # lanes of texts trained side by side
 ROUNDS = 8              # training rounds, each over another share of the training texts, together over all
 TASK_TOKENS = 1_000_000  # about so many tokens of a round are learned by a task
 RATE = 0.01
@@ -298,6 +300,44 @@ def windows(inputs: np.ndarray, targets: np.ndarray, offsets: np.ndarray, chosen
         yield chosen[:n], start, inputs[at], targets[at], live
 
 
+def side_by_side(inputs: np.ndarray, targets: np.ndarray, offsets: np.ndarray, width: int, rng: np.random.Generator):
+    """Windows of all texts in `width` lanes of about equal length, so that they stay full: (lanes that
+    go on, those of them that begin a text, inputs, targets, live mask), steps x lanes.
+
+    A text of more than SEGMENT tokens is learned from in segments of as many, each as a text of its
+    own. A segment goes to the lane with the fewest windows, the longest first; each lane then takes
+    its segments in random order, one after the other, a new one in a new window.
+    """
+    many = -(-np.diff(offsets) // SEGMENT)
+    at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    offsets = np.append(np.repeat(offsets[:-1], many) + at * SEGMENT, offsets[-1])
+    length = np.diff(offsets)
+    count = -(-length // WINDOW)
+    filled = [(0, k) for k in range(width)]
+    lane = np.empty(len(length), np.int64)
+    for text in np.argsort(-count, kind="stable").tolist():
+        used, k = filled[0]
+        lane[text] = k
+        heapq.heapreplace(filled, (used + int(count[text]), k))
+    order = np.lexsort((rng.random(len(length)), lane))
+    before = np.cumsum(count[order]) - count[order]
+    first = np.flatnonzero(np.diff(lane[order], prepend=-1))
+    before -= np.repeat(before[first], np.diff(np.append(first, len(order))))
+    text = np.repeat(order, count[order])
+    part = np.arange(len(text)) - np.repeat(np.cumsum(count[order]) - count[order], count[order])
+    row = np.repeat(before, count[order]) + part
+    start, size = (np.zeros((int(row.max(initial=-1)) + 1, width), np.int64) for _ in range(2))
+    start[row, lane[text]] = offsets[text] + part * WINDOW
+    size[row, lane[text]] = np.minimum(WINDOW, length[text] - part * WINDOW)
+    fresh = np.zeros(size.shape, np.bool_)
+    fresh[row, lane[text]] = part == 0
+    for begin, long, new in zip(start, size, fresh):
+        lanes = np.flatnonzero(long)
+        live = np.arange(long.max())[:, None] < long[lanes]
+        at = np.where(live, begin[lanes] + np.arange(len(live))[:, None], 0)
+        yield lanes, new[lanes], inputs[at], targets[at], live
+
+
 def prepared(texts: pa.Array, head: Head):
     """(values, ranks, inputs shifted by one token, targets, offsets) of a piece of texts."""
     value, offsets = tokens(texts)
@@ -342,17 +382,13 @@ def train(docs: DataFrame, text: str, head, start: np.ndarray) -> np.ndarray:
         adam = Adam(len(model.vector))
         for batch in batches:
             texts = batch.column(0)
-            for a, b in pieces(texts, PIECE_BYTES):  # many texts, so that those side by side are of like length
+            for a, b in pieces(texts, PIECE_BYTES):  # many texts, so that the lanes get about equally long
                 _, _, inputs, targets, offsets = prepared(texts.slice(a, b - a), head.value)
                 seen += len(targets)
-                by_length = np.argsort(np.diff(offsets), kind="stable")
-                batches_of_texts = [by_length[i:i + BATCH] for i in range(0, len(by_length), BATCH)]
-                for k in np.random.default_rng(len(targets)).permutation(len(batches_of_texts)):
-                    state = None
-                    for chosen, first, x, y, live in windows(inputs, targets, offsets, batches_of_texts[k]):
-                        state = np.zeros((len(chosen), SIZE), np.float32) if first == 0 else state[:len(chosen)]
-                        gradient, _, state = model.window_gradient(x, y, live, state)
-                        adam.move(model.vector, gradient / (BATCH * WINDOW))  # small windows move it less
+                states = np.zeros((BATCH, SIZE), np.float32)
+                for lanes, new, x, y, live in side_by_side(inputs, targets, offsets, BATCH, np.random.default_rng(len(targets))):
+                    gradient, _, states[lanes] = model.window_gradient(x, y, live, np.where(new[:, None], np.float32(0), states[lanes]))
+                    adam.move(model.vector, gradient / (BATCH * WINDOW))  # small windows move it less
         if seen:
             yield pa.RecordBatch.from_pydict({"sums": [np.append(model.vector.astype(np.float64) * seen, seen).tobytes()]})
 

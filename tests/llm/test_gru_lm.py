@@ -146,3 +146,25 @@ def test_a_round_is_dealt_over_tasks_by_volume(spark, monkeypatch):
     monkeypatch.setattr(gru_lm, "TASK_TOKENS", 180)
     sizes = gru_lm.share(docs, 0, 540).rdd.glom().map(len).collect()
     assert len(sizes) == 3 and max(sizes) < 2 * min(sizes)
+
+
+def test_lanes_learn_every_token_once_and_stay_full():
+    rng = np.random.default_rng(3)
+    length = np.concatenate((rng.integers(1, 300, 400), [20_000, 1, gru_lm.SEGMENT, gru_lm.SEGMENT + 1]))
+    offsets = np.concatenate(([0], np.cumsum(length)))
+    at = np.arange(offsets[-1])
+    seen, last, cells, begun = [], {}, 0, 0
+    for lanes, new, x, y, live in gru_lm.side_by_side(at, at + 7, offsets, 16, np.random.default_rng(5)):
+        assert (y[live] == x[live] + 7).all() and live[0].all() and len(live) <= gru_lm.WINDOW
+        cells += live.size
+        begun += int(new.sum())
+        for j, lane in enumerate(lanes):
+            mine = x[live[:, j], j]
+            assert (np.diff(mine) == 1).all()
+            assert new[j] or mine[0] == last[lane] + 1  # a lane's state is that of the token before
+            last[lane] = mine[-1]
+            seen.append(mine)
+    assert np.array_equal(np.sort(np.concatenate(seen)), at)
+    assert begun == (-(-length // gru_lm.SEGMENT)).sum()
+    assert cells < 1.35 * len(at)
+    assert not list(gru_lm.side_by_side(at[:0], at[:0], np.zeros(1, np.int64), 16, rng))
