@@ -30,16 +30,18 @@ from plaintscope.llm.textarrays import LOWER, SPACED, Words, flat, mix, pieces
 from plaintscope.session import stage
 
 HEAD_WORDS = 500_000    # words whose counts are sent to the scoring tasks, at most
+PREFIX = 18             # bits of a value by which it is looked up
 CLASSES, CLASS_WORDS = 32, 64
 OUTPUT_WORDS = CLASSES * CLASS_WORDS
 RARE_INPUTS = 128       # input vectors shared by all other words, by hash
 SIZE = 24               # of word vectors and of the state
 WINDOW = 32             # tokens of truncated back-propagation
 SEGMENT = 64 * WINDOW   # tokens of a text that are learned from one after the other
-BATCH = 96              # lanes of texts trained side by side
+BATCH = 128             # lanes of texts trained side by side
+SCORED = 512            # texts of similar length scored side by side, few enough to stay in the processor's cache
 ROUNDS = 8              # training rounds, each over another share of the training texts, together over all
 TASK_TOKENS = 1_000_000  # about so many tokens of a round are learned by a task
-RATE = 0.01
+RATE = 0.02
 PIECE_BYTES = 8 << 20   # of texts learned from or scored side by side
 COUNT_ROWS = 1 << 20    # counts a task holds before it hands them to Spark
 
@@ -97,16 +99,24 @@ class Head:
         self.values, self.counts = values[order], counts[order]
         self.total, self.distinct = total, distinct
         self.sorted = np.argsort(self.values)
+        self.by_value = self.values[self.sorted]
+        self.begins = np.searchsorted(self.by_value, np.arange(1 << PREFIX, dtype=np.uint64) << np.uint64(64 - PREFIX)).astype(np.int32)
         top = self.counts[:OUTPUT_WORDS]
         self.rest = total - int(top.sum()) + distinct - len(top) + 1  # N' + V' + 1
 
     def ranks(self, values: np.ndarray) -> np.ndarray:
-        """Place of each value among the head words, -1 for others."""
+        """Place of each value among the head words, -1 for others. Values are hashes, so few begin with the same bits."""
         if not len(self.values):
             return np.full(len(values), -1)
-        by_value = self.values[self.sorted]
-        at = np.minimum(np.searchsorted(by_value, values), len(by_value) - 1)
-        return np.where(by_value[at] == values, self.sorted[at], -1)
+        last = len(self.by_value) - 1
+        at = np.minimum(self.begins[(values >> np.uint64(64 - PREFIX)).astype(np.int64)], last)
+        found = self.by_value[at]
+        behind = np.flatnonzero((found < values) & (at < last))
+        while len(behind):
+            at[behind] += 1
+            found[behind] = self.by_value[at[behind]]
+            behind = behind[(found[behind] < values[behind]) & (at[behind] < last)]
+        return np.where(found == values, self.sorted[at], -1)
 
     def inputs(self, values: np.ndarray, ranks: np.ndarray) -> np.ndarray:
         """Row of the word vector: its own for output words, a shared one for the others."""
@@ -163,127 +173,171 @@ def initial(head: Head) -> np.ndarray:
     return vector
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (np.tanh(0.5 * x) + 1)
-
-
 class Gru:
+    """Inside, steps are worked on numbers x texts, so that every part of a gate is one run of memory."""
+
     def __init__(self, vector: np.ndarray):
         self.vector, self.p, self.table = vector, unpack(vector), None
 
     def fix(self) -> Gru:
         """From now on the parameters stay as they are: inputs are multiplied once."""
-        self.table = self.p["vectors"] @ self.p["into"] + self.p["into_bias"]
+        self.table = self.into_gates(self.p["vectors"])
         return self
 
-    def entering(self, inputs: np.ndarray) -> np.ndarray:
-        """Word vectors of the inputs times their weights, by way of all vectors if that is less work."""
-        p = self.p
+    def into_gates(self, vectors: np.ndarray) -> np.ndarray:
+        """Word vectors times their weights, times -1 for the gates, 1 / (1 + exp(-x)), and -2 for the new state, 2 / (1 + exp(-2 x)) - 1."""
+        found = vectors @ self.p["into"] + self.p["into_bias"]
+        found *= np.repeat(np.array([-1, -2], found.dtype), (2 * SIZE, SIZE))
+        return found
+
+    def entering(self, inputs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(what enters the gates, its row for each input), by way of all vectors if that is less work."""
         if self.table is not None:
-            return self.table[inputs]
-        if inputs.size < len(p["vectors"]):
-            return p["vectors"][inputs] @ p["into"] + p["into_bias"]
-        return (p["vectors"] @ p["into"] + p["into_bias"])[inputs]
+            return self.table, inputs
+        if inputs.size < len(self.p["vectors"]):
+            return self.into_gates(self.p["vectors"][inputs.reshape(-1)]), np.arange(inputs.size).reshape(inputs.shape)
+        return self.into_gates(self.p["vectors"]), inputs
 
     def run(self, inputs: np.ndarray, state: np.ndarray, keep: bool = False):
-        """States after each of the inputs (steps x texts), the last one also by itself."""
-        p, s = self.p, SIZE
-        entering = self.entering(inputs)
-        states = np.empty((*inputs.shape, s), np.float32)
-        trace = [np.empty((*inputs.shape, n), np.float32) for n in (2 * s, s, s)] if keep else None  # gates, inner, new
-        for t in range(len(inputs)):
-            x, u = entering[t], state @ p["over"]
-            gate = sigmoid(x[:, :2 * s] + u[:, :2 * s])
-            z, r = gate[:, :s], gate[:, s:]
-            inner = u[:, 2 * s:] + p["over_bias"]
-            new = np.tanh(x[:, 2 * s:] + r * inner)
-            if keep:
-                trace[0][t], trace[1][t], trace[2][t] = gate, inner, new
-            state = new + z * (state - new)
-            states[t] = state
-        return states, state, trace
+        """States after each of the inputs (steps x numbers x texts), the last one also by itself (texts x numbers)."""
+        p, s, (steps, n) = self.p, SIZE, inputs.shape
+        (table, rows), kind = self.entering(inputs), self.vector.dtype
+        over, bias = p["over"].T.copy(), p["over_bias"][:, None]
+        over[:2 * s] *= -1
+        states = np.empty((steps, s, n), kind)
+        trace = [np.empty((steps if keep else 1, m, n), kind) for m in (2 * s, s, s)]  # gates, inner, new
+        state, u = np.ascontiguousarray(state.T, kind), np.empty((3 * s, n), kind)
+        with np.errstate(over="ignore"):  # 1 / (1 + inf) is 0
+            for t in range(steps):
+                gate, inner, new = (part[t if keep else 0] for part in trace)
+                x, after = table[rows[t]].T, states[t]
+                np.matmul(over, state, out=u)
+                np.add(u[:2 * s], x[:2 * s], out=gate)
+                np.exp(gate, out=gate)
+                gate += 1
+                np.reciprocal(gate, out=gate)
+                np.add(u[2 * s:], bias, out=inner)
+                np.multiply(gate[s:], inner, out=new)
+                new *= -2
+                new += x[2 * s:]
+                np.exp(new, out=new)
+                new += 1
+                np.divide(2, new, out=new)
+                new -= 1
+                np.subtract(state, new, out=after)
+                after *= gate[:s]
+                after += new
+                state = after
+        return states, state.T, trace
 
     def log_probabilities(self, states: np.ndarray, targets: np.ndarray, learn: dict | None = None):
         """Natural log of the class-factored probability of each target (its rank; OUTPUT_WORDS
         or more: the class of other words). With `learn`, gradients of the negative sum are
         added to it and those by the states are returned too."""
         p = self.p
-        kind = np.minimum(targets // CLASS_WORDS, CLASSES)
-        rows = np.arange(len(targets))
-        logits = states @ p["classes"] + p["class_bias"]
-        logits -= logits.max(axis=1, keepdims=True)
-        share = np.exp(logits)
-        total = share.sum(axis=1, keepdims=True)
-        result = logits[rows, kind] - np.log(total[:, 0])
-        back = None
+        kind = np.minimum(targets // CLASS_WORDS, CLASSES).astype(np.int16)
+        order = np.argsort(kind, kind="stable")
+        kind, states, word = kind[order], states[order], targets[order] % CLASS_WORDS
+        edges = np.searchsorted(kind, np.arange(CLASSES + 1))
+        rows, most = np.arange(len(targets)), float(np.abs(states).max(initial=0))
+        ones = np.ones(max(len(targets), CLASS_WORDS), states.dtype)
+
+        def softmax(states, weights, bias, target, safe):
+            """(log probabilities of the targets, the gradient by the logits)."""
+            own = rows[:len(target)]
+            share = states @ weights
+            share += bias
+            if not safe:
+                share -= share.max(axis=1, keepdims=True)
+            found = share[own, target]
+            np.exp(share, out=share)
+            total = share @ ones[:share.shape[1]]
+            found -= np.log(total)
+            if learn is not None:
+                share *= (1 / total)[:, None]
+                share[own, target] -= 1
+            return found, share
+
+        safe = _in_range(p["classes"], p["class_bias"], most)
+        found, share = softmax(states, p["classes"], p["class_bias"], kind, safe)
         if learn is not None:
-            share /= total
-            share[rows, kind] -= 1
             learn["classes"] += states.T @ share
-            learn["class_bias"] += share.sum(axis=0)
+            learn["class_bias"] += ones[:len(share)] @ share
             back = share @ p["classes"].T
-        order = np.argsort(kind.astype(np.int16), kind="stable")
-        edges = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-        order = order[:edges[-1]]
-        by_class, word_in_class = states[order], targets[order] % CLASS_WORDS
-        inner, above = np.empty(len(order), result.dtype), np.empty_like(by_class)
+        safe = _in_range(p["words"], p["word_bias"], most)
         for k in range(CLASSES):
             at = slice(edges[k], edges[k + 1])
-            word, h = word_in_class[at], by_class[at]
-            if not len(h):
+            if edges[k] == edges[k + 1]:
                 continue
-            own = rows[:len(h)]
-            logits = h @ p["words"][k] + p["word_bias"][k]
-            logits -= logits.max(axis=1, keepdims=True)
-            share = np.exp(logits)
-            total = share.sum(axis=1, keepdims=True)
-            inner[at] = logits[own, word] - np.log(total[:, 0])
+            some, share = softmax(states[at], p["words"][k], p["word_bias"][k], word[at], safe[k])
+            found[at] += some
             if learn is not None:
-                share /= total
-                share[own, word] -= 1
-                learn["words"][k] += h.T @ share
-                learn["word_bias"][k] += share.sum(axis=0)
-                above[at] = share @ p["words"][k].T
-        result[order] += inner
-        if learn is not None:
-            back[order] += above
-        return result if learn is None else (result, back)
+                learn["words"][k] += states[at].T @ share
+                learn["word_bias"][k] += ones[:len(share)] @ share
+                back[at] += share @ p["words"][k].T
+        result = np.empty_like(found)
+        result[order] = found
+        if learn is None:
+            return result
+        above = np.empty_like(back)
+        above[order] = back
+        return result, above
 
     def window_gradient(self, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray, state: np.ndarray):
         """(gradient vector of the negative log-likelihood, its value, the last state) of one window."""
-        p, s = self.p, SIZE
+        p, s, (steps, n) = self.p, SIZE, inputs.shape
         gradient = np.zeros_like(self.vector)
         g = unpack(gradient)
         states, last, trace = self.run(inputs, state, keep=True)
-        result, back = self.log_probabilities(states[live], targets[live], g)
-        above = np.zeros_like(states)
+        result, back = self.log_probabilities(by_token(states, live), targets[live], g)
+        above = np.zeros((steps, n, s), states.dtype)
         above[live] = back
         gate, inner, new = trace
-        z, r = gate[..., :s], gate[..., s:]
-        before = np.concatenate((state[None], states[:-1]))
+        z, r = gate[:, :s], gate[:, s:]
+        before = np.concatenate((state.T[None], states[:-1]), dtype=states.dtype)
         new_by, z_by, r_by = (1 - z) * (1 - new * new), (before - new) * z * (1 - z), inner * r * (1 - r)
-        into_x = np.empty((*inputs.shape, 3 * s), np.float32)
-        into_u = np.empty_like(into_x)
-        back_over = np.ascontiguousarray(p["over"].T)
-        carried = np.zeros_like(state)
-        for t in range(len(inputs) - 1, -1, -1):
-            d, x, u = above[t] + carried, into_x[t], into_u[t]
-            d_new = d * new_by[t]
-            x[:, :s], x[:, s:2 * s], x[:, 2 * s:] = d * z_by[t], d_new * r_by[t], d_new
-            u[:, :2 * s], u[:, 2 * s:] = x[:, :2 * s], d_new * r[t]
-            carried = d * z[t] + u @ back_over
-        flat_x, flat_u, flat_in = into_x.reshape(-1, 3 * s), into_u.reshape(-1, 3 * s), inputs.reshape(-1)
-        g["over"] += before.reshape(-1, s).T @ flat_u
-        g["over_bias"] += flat_u[:, 2 * s:].sum(axis=0)
-        g["into_bias"] += flat_x.sum(axis=0)
-        g["into"] += p["vectors"][flat_in].T @ flat_x
+        # By the sums inside the new state, z and r, where inputs enter, and inside the new state, where the state does.
+        by = np.empty((steps, 4 * s, n), states.dtype)
+        carried, d = np.zeros((s, n), states.dtype), np.empty((s, n), states.dtype)
+        over = p["over"].copy()
+        for t in range(steps - 1, -1, -1):
+            here = by[t]
+            by_new = here[:s]
+            np.add(carried, above[t].T, out=d)
+            np.multiply(d, new_by[t], out=by_new)
+            np.multiply(d, z_by[t], out=here[s:2 * s])
+            np.multiply(by_new, r_by[t], out=here[2 * s:3 * s])
+            np.multiply(by_new, r[t], out=here[3 * s:])
+            np.matmul(over, here[s:], out=carried)
+            d *= z[t]
+            carried += d
+        g["over"] += np.matmul(before, by[:, s:].transpose(0, 2, 1)).sum(axis=0)
+        g["over_bias"] += by[:, 3 * s:].sum(axis=(0, 2))
+        flat_in = inputs.reshape(-1).astype(np.int16 if len(p["vectors"]) < 1 << 15 else np.int64)
         order = np.argsort(flat_in, kind="stable")
         ranked = flat_in[order]
         first = np.flatnonzero(np.diff(ranked, prepend=-1))
-        g["vectors"][ranked[first]] += np.add.reduceat(flat_x[order], first, axis=0) @ p["into"].T
+        rows = by[:, :3 * s].transpose(0, 2, 1).reshape(-1, 3 * s)
+        sums = np.roll(np.add.reduceat(rows[order], first, axis=0), -s, axis=1)  # of each input, z and r before the new state
+        used = ranked[first]
+        g["into"] += p["vectors"][used].T @ sums
+        g["into_bias"] += sums.sum(axis=0)
+        g["vectors"][used] += sums @ p["into"].T
         return gradient, -float(result.sum()), last
 
 
+def by_token(states: np.ndarray, live: np.ndarray) -> np.ndarray:
+    """Tokens x numbers of the live places of steps x numbers x texts."""
+    states = states.transpose(0, 2, 1)
+    return states.reshape(-1, states.shape[2]) if live.all() else states[live]
+
+
+def _in_range(weights: np.ndarray, bias: np.ndarray, most: float) -> np.ndarray:
+    """Whether exp of the logits can be summed as they are, for states of entries up to `most`."""
+    reach = most * np.abs(weights).sum(axis=-2)
+    return ((bias + reach).max(axis=-1) < 60) & ((bias - reach).max(axis=-1) > -70)
+
+
 def windows(inputs: np.ndarray, targets: np.ndarray, offsets: np.ndarray, chosen: np.ndarray):
     """Windows of the chosen texts side by side, longest first: (texts still live, first step or
     not, inputs, targets, live mask), steps x texts. The input of a step is the token before
@@ -357,10 +411,19 @@ class Adam:
 
     def move(self, vector: np.ndarray, gradient: np.ndarray) -> None:
         self.step += 1
-        self.mean += 0.1 * (gradient - self.mean)
-        self.square += 0.01 * (gradient * gradient - self.square)
+        change = gradient - self.mean
+        change *= 0.1
+        self.mean += change
+        np.multiply(gradient, gradient, out=change)
+        change -= self.square
+        change *= 0.01
+        self.square += change
         rate = RATE * math.sqrt(1 - 0.99 ** self.step) / (1 - 0.9 ** self.step)
-        vector -= rate * self.mean / (np.sqrt(self.square) + 1e-8)
+        np.sqrt(self.square, out=change)
+        change += 1e-8
+        np.divide(self.mean, change, out=change)
+        change *= rate
+        vector -= change
 
 
 def share(docs: DataFrame, k: int, total: int) -> DataFrame:
@@ -414,12 +477,14 @@ def score_piece(texts: pa.Array, head: Head, model: Gru) -> pa.RecordBatch:
     base = np.bincount(text, weight, n)
     inner = np.where(targets == OUTPUT_WORDS, np.where(known, weight, 0) - math.log(head.rest), 0)
     total = np.bincount(text, inner, n)
-    state = None
-    for chosen, first, x, y, live in windows(inputs, targets, offsets, np.arange(n)):
-        state = np.zeros((len(chosen), SIZE), np.float32) if first == 0 else state[:len(chosen)]
-        states, state, _ = model.run(x, state)
-        column = np.broadcast_to(np.arange(len(chosen)), live.shape)[live]
-        total[chosen] += np.bincount(column, model.log_probabilities(states[live], y[live]), len(chosen))
+    order = np.argsort(-np.diff(offsets), kind="stable")
+    for begin in range(0, n, SCORED):
+        state = None
+        for chosen, first, x, y, live in windows(inputs, targets, offsets, order[begin:begin + SCORED]):
+            state = np.zeros((len(chosen), SIZE), np.float32) if first == 0 else state[:len(chosen)]
+            states, state, _ = model.run(x, state)
+            column = np.broadcast_to(np.arange(len(chosen)), live.shape)[live]
+            total[chosen] += np.bincount(column, model.log_probabilities(by_token(states, live), y[live]), len(chosen))
     owner, other = text[~known], value[~known]
     order = np.lexsort((other, owner))
     owner, other = owner[order], other[order]

@@ -168,3 +168,36 @@ def test_lanes_learn_every_token_once_and_stay_full():
     assert begun == (-(-length // gru_lm.SEGMENT)).sum()
     assert cells < 1.35 * len(at)
     assert not list(gru_lm.side_by_side(at[:0], at[:0], np.zeros(1, np.int64), 16, rng))
+
+
+def test_words_are_looked_up_whatever_their_values():
+    rng = np.random.default_rng(4)
+    close = np.arange(1000, dtype=np.uint64) * np.uint64(3)  # all begin with the same bits
+    values = np.concatenate((close, rng.integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2) + np.uint64(1), [np.uint64(2**64 - 1)]))
+    head = gru_lm.Head(values, rng.integers(1, 50, len(values)), 10**6, len(values))
+    asked = np.concatenate((values, close + np.uint64(1), rng.integers(0, 1 << 63, 5000, dtype=np.uint64), [np.uint64(2**64 - 2)]))
+    place = {int(v): k for k, v in enumerate(head.values)}
+    assert head.ranks(asked).tolist() == [place.get(int(v), -1) for v in asked]
+
+
+def test_texts_scored_in_small_groups_score_the_same(monkeypatch):
+    texts = pa.array(["a b c zz a b " * 15, "", "b a d d", "q", "a b " * 40])
+    value, n = np.unique(gru_lm.tokens(pa.array(["a b c a b a d e f a"]))[0], return_counts=True)
+    head = gru_lm.Head(value, n, int(n.sum()), len(value))
+    model = gru_lm.Gru(gru_lm.initial(head)).fix()
+    whole = gru_lm.score_piece(texts, head, model).column("model").to_pylist()
+    monkeypatch.setattr(gru_lm, "SCORED", 2)
+    assert gru_lm.score_piece(texts, head, model).column("model").to_pylist() == pytest.approx(whole, rel=1e-6)
+
+
+def test_large_logits_do_not_overflow():
+    """Where exp of a logit would be infinite, or that of all of them 0, the largest is taken off first."""
+    value, n = np.unique(gru_lm.tokens(pa.array(["a b c a"]))[0], return_counts=True)
+    model = gru_lm.Gru(gru_lm.initial(gru_lm.Head(value, n, 5, len(value))))
+    states = np.random.default_rng(0).normal(size=(40, gru_lm.SIZE)).astype(np.float32)
+    targets = np.arange(40) * 60
+    before = model.log_probabilities(states, targets)
+    for shift in (500, -1000):
+        model.p["class_bias"][:] += shift
+        model.p["word_bias"][:] += shift
+        assert np.allclose(model.log_probabilities(states, targets), before, atol=1e-2)
