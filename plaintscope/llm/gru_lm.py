@@ -37,11 +37,11 @@ RARE_INPUTS = 128       # input vectors shared by all other words, by hash
 SIZE = 24               # of word vectors and of the state
 WINDOW = 32             # tokens of truncated back-propagation
 SEGMENT = 64 * WINDOW   # tokens of a text that are learned from one after the other
-BATCH = 128             # lanes of texts trained side by side
+BATCH = 96              # lanes of texts trained side by side
 SCORED = 1024           # texts of similar length scored side by side
 ROUNDS = 8              # training rounds, each over another share of the training texts, together over all
 TASK_TOKENS = 1_000_000  # about so many tokens of a round are learned by a task
-RATE = 0.02
+RATE = 0.01
 PIECE_BYTES = 8 << 20   # of texts learned from or scored side by side
 COUNT_ROWS = 1 << 20    # counts a task holds before it hands them to Spark
 
