@@ -2,6 +2,7 @@
 
 import html as references
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,3 +103,23 @@ def test_each_reference_is_decoded_once_and_as_html_says(spark, monkeypatch):
     plain = text.replace("&notit;", "")  # the column decodes names with their semicolon only
     rows = spark.createDataFrame([(plain,), ("&amp;" * 1200 + "&lt;",), (None,)], "t string").select(H.decode_entities("t").alias("d")).collect()
     assert [r.d for r in rows] == [references.unescape(plain), "&" * 1200 + "<", None]
+
+
+def test_markup_is_cut_as_by_trying_every_way():
+    """The patterns never try again what they took; that must find the same markup as ones that do."""
+    again = [re.compile(p.pattern.replace("]++", "]").replace("*+", "*"), p.flags) for p in (P._MARKUP, P._TAG)]
+    assert all("*+" in p.pattern for p in (P._MARKUP, P._TAG))
+    pick = random.Random(2)
+    bits = ["<a x='", "'", '"', ">", "<", "</p>", "<p y=\"", "=", "<script>", "</script>", "<!-- ", "-->", "/>", " z ", "<style ", "</style >"]
+    for _ in range(3000):
+        text = "".join(pick.choice(bits) for _ in range(pick.randint(0, 14)))
+        assert P._MARKUP.split(text) == again[0].split(text)
+        assert [m.groups() for m in P._TAG.finditer(text)] == [m.groups() for m in again[1].finditer(text)]
+
+
+def test_end_tags_in_and_out_of_order():
+    html = "<div><b>x</b><i>y<u>z</i></u><p>1<p>2</div>end"
+    tags, places, texts = P.lex(html)
+    assert [t.name for t in tags] == ["div", "b", "i", "u", "p", "p"] and texts == ["x", "y", "z", "1", "2", "end"]
+    assert [html[p[3]:p[4]] for p in places] == ["<div><b>x</b><i>y<u>z</i></u><p>1<p>2</div>", "<b>x</b>", "<i>y<u>z</i>", "<u>z", "<p>1", "<p>2"]
+    assert [p[1] for p in places] == [5, 0, 1, 0, 0, 0] and [p[2] for p in places] == [-1, 0, 0, 2, 0, 0] and [p[8] for p in places] == [5, 1, 2, 1, 1, 1]
