@@ -19,7 +19,8 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plaintscope.llm.textarrays import LOWER, SPACED, Words, flat, mix, pieces
-from plaintscope.session import stage
+from plaintscope.session import checkpoint_dir, stage
 
 HEAD_WORDS = 500_000    # words whose counts are sent to the scoring tasks, at most
 PREFIX = 18             # bits of a value by which it is looked up
@@ -38,10 +39,11 @@ SIZE = 24               # of word vectors and of the state
 WINDOW = 32             # tokens of truncated back-propagation
 SEGMENT = 64 * WINDOW   # tokens of a text that are learned from one after the other
 BATCH = 96              # lanes of texts trained side by side
-SCORED = 1024           # texts of similar length scored side by side
+SCORED = 512            # texts of similar length scored side by side
 ROUNDS = 8              # training rounds, each over another share of the training texts, together over all
 TASK_TOKENS = 1_000_000  # about so many tokens of a round are learned by a task
 RATE = 0.01
+MOVED = 1 << 13         # parameters moved at a time
 PIECE_BYTES = 8 << 20   # of texts learned from or scored side by side
 COUNT_ROWS = 1 << 20    # counts a task holds before it hands them to Spark
 
@@ -174,168 +176,185 @@ def initial(head: Head) -> np.ndarray:
 
 
 class Gru:
-    """Inside, steps are worked on numbers x texts, so that every part of a gate is one run of memory."""
+    """Inside, steps are worked on numbers x texts, so that every part of a gate is one run of memory. What enters a step is the
+    word vector, the state and a 1 for the biases; a product gives the sums of the gates z and r, of what r lets through and of
+    the new state."""
 
     def __init__(self, vector: np.ndarray):
-        self.vector, self.p, self.table = vector, unpack(vector), None
+        self.vector, self.p, self.kept, self.fixed = vector, unpack(vector), {}, None
 
     def fix(self) -> Gru:
-        """From now on the parameters stay as they are: inputs are multiplied once."""
-        self.table = self.into_gates(self.p["vectors"])
+        """From now on the parameters stay as they are: weights are put together once."""
+        self.fixed = self.negated(self.step_weights()), self.output_weights()
         return self
 
-    def into_gates(self, vectors: np.ndarray) -> np.ndarray:
-        """Word vectors times their weights, times -1 for the gates, 1 / (1 + exp(-x)), and -2 for the new state, 2 / (1 + exp(-2 x)) - 1."""
-        found = vectors @ self.p["into"] + self.p["into_bias"]
-        found *= np.repeat(np.array([-1, -2], found.dtype), (2 * SIZE, SIZE))
-        return found
-
-    def entering(self, inputs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(what enters the gates, its row for each input), by way of all vectors if that is less work."""
-        if self.table is not None:
-            return self.table, inputs
-        if inputs.size < len(self.p["vectors"]):
-            return self.into_gates(self.p["vectors"][inputs.reshape(-1)]), np.arange(inputs.size).reshape(inputs.shape)
-        return self.into_gates(self.p["vectors"]), inputs
-
-    def run(self, inputs: np.ndarray, state: np.ndarray, keep: bool = False):
-        """States after each of the inputs (steps x numbers x texts), the last one also by itself (texts x numbers)."""
-        p, s, (steps, n) = self.p, SIZE, inputs.shape
-        (table, rows), kind = self.entering(inputs), self.vector.dtype
-        over, bias = p["over"].T.copy(), p["over_bias"][:, None]
-        over[:2 * s] *= -1
-        states = np.empty((steps, s, n), kind)
-        trace = [np.empty((steps if keep else 1, m, n), kind) for m in (2 * s, s, s)]  # gates, inner, new
-        state, u = np.ascontiguousarray(state.T, kind), np.empty((3 * s, n), kind)
+    def room(self, name: str, *shape: int) -> np.ndarray:
+        """An array of any content, valid until the same name is asked for again."""
+        size, held = math.prod(shape), self.kept.get(name)
+        if held is None or held.size < size:
+            held = self.kept[name] = np.empty(size, self.vector.dtype)
+        return held[:size].reshape(shape)
+
+    def step_weights(self) -> np.ndarray:
+        p, s = self.p, SIZE
+        weights = np.zeros((4 * s, 2 * s + 1), self.vector.dtype)
+        weights[:2 * s, :s], weights[3 * s:, :s] = p["into"].T[:2 * s], p["into"].T[2 * s:]
+        weights[:3 * s, s:2 * s] = p["over"].T
+        weights[:, 2 * s] = np.concatenate((p["into_bias"][:2 * s], p["over_bias"], p["into_bias"][2 * s:]))
+        return weights
+
+    @staticmethod
+    def negated(weights: np.ndarray) -> np.ndarray:
+        """Those of the gates times -1, for 1 / (1 + exp(-x))."""
+        weights = weights.copy()
+        weights[:2 * SIZE] *= -1
+        return weights
+
+    def output_weights(self) -> tuple[np.ndarray, np.ndarray]:
+        p = self.p
+        return np.concatenate((p["classes"], p["class_bias"][None])), np.concatenate((p["words"], p["word_bias"][:, None]), axis=1)
+
+    def run(self, inputs: np.ndarray, state: np.ndarray, weights: np.ndarray | None = None, keep: bool = False):
+        """What enters each step and one after them (steps + 1 x numbers x texts), the last state by itself (texts x numbers), the gates
+        and sums, and the new states. All but the last state are valid until the next run."""
+        s, (steps, n) = SIZE, inputs.shape
+        if weights is None:
+            weights = self.fixed[0] if self.fixed else self.negated(self.step_weights())
+        entering = self.room("entering", steps + 1, 2 * s + 1, n)
+        entering[:steps, :s] = self.p["vectors"].take(inputs, axis=0).transpose(0, 2, 1)
+        entering[0, s:2 * s], entering[:, 2 * s] = state.T, 1
+        sums, made = (self.room(name, steps if keep else 1, m, n) for name, m in (("sums", 4 * s), ("made", s)))
         with np.errstate(over="ignore"):  # 1 / (1 + inf) is 0
             for t in range(steps):
-                gate, inner, new = (part[t if keep else 0] for part in trace)
-                x, after = table[rows[t]].T, states[t]
-                np.matmul(over, state, out=u)
-                np.add(u[:2 * s], x[:2 * s], out=gate)
+                at = t if keep else 0
+                u, new, after = sums[at], made[at], entering[t + 1, s:2 * s]
+                np.matmul(weights, entering[t], out=u)
+                gate = u[:2 * s]
                 np.exp(gate, out=gate)
                 gate += 1
                 np.reciprocal(gate, out=gate)
-                np.add(u[2 * s:], bias, out=inner)
-                np.multiply(gate[s:], inner, out=new)
-                new *= -2
-                new += x[2 * s:]
-                np.exp(new, out=new)
-                new += 1
-                np.divide(2, new, out=new)
-                new -= 1
-                np.subtract(state, new, out=after)
-                after *= gate[:s]
+                np.multiply(u[s:2 * s], u[2 * s:3 * s], out=new)
+                new += u[3 * s:]
+                np.tanh(new, out=new)
+                np.subtract(entering[t, s:2 * s], new, out=after)
+                after *= u[:s]
                 after += new
-                state = after
-        return states, state.T, trace
+        return entering, entering[steps, s:2 * s].T.copy(), sums, made
 
-    def log_probabilities(self, states: np.ndarray, targets: np.ndarray, learn: dict | None = None):
+    def log_probabilities(self, states: np.ndarray, targets: np.ndarray, learn: dict | None = None, at: np.ndarray | None = None):
         """Natural log of the class-factored probability of each target (its rank; OUTPUT_WORDS
-        or more: the class of other words). With `learn`, gradients of the negative sum are
-        added to it and those by the states are returned too."""
-        p = self.p
+        or more: the class of other words). `at`: the row of its state, if not the target's own. With `learn`, gradients of
+        the negative sum are added to it and those by the states are returned too."""
+        p, s = self.p, SIZE
+        by_class, by_word = self.fixed[1] if self.fixed else self.output_weights()
         kind = np.minimum(targets // CLASS_WORDS, CLASSES).astype(np.int16)
         order = np.argsort(kind, kind="stable")
-        kind, states, word = kind[order], states[order], targets[order] % CLASS_WORDS
-        edges = np.searchsorted(kind, np.arange(CLASSES + 1))
-        rows, most = np.arange(len(targets)), float(np.abs(states).max(initial=0))
-        ones = np.ones(max(len(targets), CLASS_WORDS), states.dtype)
-
-        def softmax(states, weights, bias, target, safe):
+        kind, word = kind[order], targets[order] % CLASS_WORDS
+        edges = np.searchsorted(kind, np.arange(CLASSES + 1)).tolist()
+        parts = [(k, slice(edges[k], edges[k + 1])) for k in range(CLASSES) if edges[k] < edges[k + 1]]
+        rows = order if at is None else at[order]
+        own = self.room("own", len(targets), s + 1)
+        own[:, :s], own[:, s] = states.take(rows, axis=0), 1
+
+        def classes() -> np.ndarray:
+            return np.matmul(own, by_class, out=self.room("share", len(own), CLASSES + 1))
+
+        def words() -> np.ndarray:
+            logits = self.room("within", edges[CLASSES], CLASS_WORDS)
+            for k, part in parts:
+                np.matmul(own[part], by_word[k], out=logits[part])
+            return logits
+
+        def softmax(logits: Callable[[], np.ndarray], target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             """(log probabilities of the targets, the gradient by the logits)."""
-            own = rows[:len(target)]
-            share = states @ weights
-            share += bias
-            if not safe:
+            share = logits()
+            cell, cells, ones = np.arange(len(share)) * share.shape[1] + target, share.reshape(-1), np.ones(share.shape[1], share.dtype)
+            found = cells.take(cell)
+            with np.errstate(over="ignore"):
+                np.exp(share, out=share)
+            total = share @ ones
+            if not (total.min(initial=1) > 1e-30 and total.max(initial=1) < 1e30):
+                logits()
                 share -= share.max(axis=1, keepdims=True)
-            found = share[own, target]
-            np.exp(share, out=share)
-            total = share @ ones[:share.shape[1]]
+                found = cells.take(cell)
+                np.exp(share, out=share)
+                total = share @ ones
             found -= np.log(total)
             if learn is not None:
                 share *= (1 / total)[:, None]
-                share[own, target] -= 1
+                cells[cell] -= 1
             return found, share
 
-        safe = _in_range(p["classes"], p["class_bias"], most)
-        found, share = softmax(states, p["classes"], p["class_bias"], kind, safe)
-        if learn is not None:
-            learn["classes"] += states.T @ share
-            learn["class_bias"] += ones[:len(share)] @ share
-            back = share @ p["classes"].T
-        safe = _in_range(p["words"], p["word_bias"], most)
-        for k in range(CLASSES):
-            at = slice(edges[k], edges[k + 1])
-            if edges[k] == edges[k + 1]:
-                continue
-            some, share = softmax(states[at], p["words"][k], p["word_bias"][k], word[at], safe[k])
-            found[at] += some
-            if learn is not None:
-                learn["words"][k] += states[at].T @ share
-                learn["word_bias"][k] += ones[:len(share)] @ share
-                back[at] += share @ p["words"][k].T
+        found, share = softmax(classes, kind)
+        some, within = softmax(words, word[:edges[CLASSES]])
+        found[:len(some)] += some
         result = np.empty_like(found)
         result[order] = found
         if learn is None:
             return result
-        above = np.empty_like(back)
-        above[order] = back
+        by = own.T @ share
+        learn["classes"] += by[:s]
+        learn["class_bias"] += by[s]
+        back = share @ p["classes"].T
+        by, turned, more = np.zeros_like(by_word), p["words"].transpose(0, 2, 1).copy(), self.room("more", len(some), s)
+        for k, part in parts:
+            np.matmul(own[part].T, within[part], out=by[k])
+            np.matmul(within[part], turned[k], out=more[part])
+        learn["words"] += by[:, :s]
+        learn["word_bias"] += by[:, s]
+        back[:len(some)] += more
+        above = np.zeros_like(states)
+        above[rows] = back
         return result, above
 
     def window_gradient(self, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray, state: np.ndarray):
         """(gradient vector of the negative log-likelihood, its value, the last state) of one window."""
-        p, s, (steps, n) = self.p, SIZE, inputs.shape
+        s, (steps, n) = SIZE, inputs.shape
         gradient = np.zeros_like(self.vector)
-        g = unpack(gradient)
-        states, last, trace = self.run(inputs, state, keep=True)
-        result, back = self.log_probabilities(by_token(states, live), targets[live], g)
-        above = np.zeros((steps, n, s), states.dtype)
-        above[live] = back
-        gate, inner, new = trace
-        z, r = gate[:, :s], gate[:, s:]
-        before = np.concatenate((state.T[None], states[:-1]), dtype=states.dtype)
-        new_by, z_by, r_by = (1 - z) * (1 - new * new), (before - new) * z * (1 - z), inner * r * (1 - r)
-        # By the sums inside the new state, z and r, where inputs enter, and inside the new state, where the state does.
-        by = np.empty((steps, 4 * s, n), states.dtype)
-        carried, d = np.zeros((s, n), states.dtype), np.empty((s, n), states.dtype)
-        over = p["over"].copy()
+        g, weights = unpack(gradient), self.step_weights()
+        entering, last, sums, new = self.run(inputs, state, self.negated(weights), keep=True)
+        at = np.flatnonzero(live)
+        result, above = self.log_probabilities(by_token(entering), targets.reshape(-1)[at], g, at)
+        above = above.reshape(steps, n, s)
+        z, r = sums[:, :s], sums[:, s:2 * s]
+        new_by, z_by, r_by = (self.room(name, steps, s, n) for name in ("new_by", "z_by", "r_by"))
+        np.subtract(1, z, out=r_by)
+        np.multiply(new, new, out=new_by)
+        np.subtract(1, new_by, out=new_by)
+        new_by *= r_by
+        np.subtract(entering[:steps, s:2 * s], new, out=z_by)
+        z_by *= z
+        z_by *= r_by
+        np.subtract(1, r, out=r_by)
+        r_by *= r
+        r_by *= sums[:, 2 * s:3 * s]
+        by, back = self.room("by", steps, 4 * s, n), self.room("back", steps, 2 * s, n)  # by the sums, and by what enters
+        carried, d, turned = np.zeros((s, n), gradient.dtype), np.empty((s, n), gradient.dtype), weights[:, :2 * s].T.copy()
         for t in range(steps - 1, -1, -1):
-            here = by[t]
-            by_new = here[:s]
+            here, by_new = by[t], by[t, 3 * s:]
             np.add(carried, above[t].T, out=d)
             np.multiply(d, new_by[t], out=by_new)
-            np.multiply(d, z_by[t], out=here[s:2 * s])
-            np.multiply(by_new, r_by[t], out=here[2 * s:3 * s])
-            np.multiply(by_new, r[t], out=here[3 * s:])
-            np.matmul(over, here[s:], out=carried)
+            np.multiply(d, z_by[t], out=here[:s])
+            np.multiply(by_new, r_by[t], out=here[s:2 * s])
+            np.multiply(by_new, r[t], out=here[2 * s:3 * s])
+            np.matmul(turned, here, out=back[t])
+            carried = back[t, s:]
             d *= z[t]
             carried += d
-        g["over"] += np.matmul(before, by[:, s:].transpose(0, 2, 1)).sum(axis=0)
-        g["over_bias"] += by[:, 3 * s:].sum(axis=(0, 2))
-        flat_in = inputs.reshape(-1).astype(np.int16 if len(p["vectors"]) < 1 << 15 else np.int64)
-        order = np.argsort(flat_in, kind="stable")
-        ranked = flat_in[order]
-        first = np.flatnonzero(np.diff(ranked, prepend=-1))
-        rows = by[:, :3 * s].transpose(0, 2, 1).reshape(-1, 3 * s)
-        sums = np.roll(np.add.reduceat(rows[order], first, axis=0), -s, axis=1)  # of each input, z and r before the new state
-        used = ranked[first]
-        g["into"] += p["vectors"][used].T @ sums
-        g["into_bias"] += sums.sum(axis=0)
-        g["vectors"][used] += sums @ p["into"].T
+        found = np.matmul(by, entering[:steps].transpose(0, 2, 1)).sum(axis=0)
+        g["over"] += found[:3 * s, s:2 * s].T
+        g["over_bias"] += found[2 * s:3 * s, 2 * s]
+        found = np.delete(found, slice(2 * s, 3 * s), axis=0)
+        g["into"] += found[:, :s].T
+        g["into_bias"] += found[:, 2 * s]
+        inputs, rows = inputs.reshape(-1), back[:, :s].transpose(1, 0, 2).reshape(s, -1).astype(np.float64)
+        g["vectors"] += np.stack([np.bincount(inputs, row, len(g["vectors"])) for row in rows]).T
         return gradient, -float(result.sum()), last
 
 
-def by_token(states: np.ndarray, live: np.ndarray) -> np.ndarray:
-    """Tokens x numbers of the live places of steps x numbers x texts."""
-    states = states.transpose(0, 2, 1)
-    return states.reshape(-1, states.shape[2]) if live.all() else states[live]
-
-
-def _in_range(weights: np.ndarray, bias: np.ndarray, most: float) -> np.ndarray:
-    """Whether exp of the logits can be summed as they are, for states of entries up to `most`."""
-    reach = most * np.abs(weights).sum(axis=-2)
-    return ((bias + reach).max(axis=-1) < 60) & ((bias - reach).max(axis=-1) > -70)
+def by_token(entering: np.ndarray) -> np.ndarray:
+    """The states after each step, (steps and texts) x numbers."""
+    return entering[1:, SIZE:2 * SIZE].transpose(0, 2, 1).reshape(-1, SIZE)
 
 
 def windows(inputs: np.ndarray, targets: np.ndarray, offsets: np.ndarray, chosen: np.ndarray):
@@ -406,24 +425,34 @@ def prepared(texts: pa.Array, head: Head):
 
 
 class Adam:
-    def __init__(self, size: int):
-        self.mean, self.square, self.step = np.zeros(size, np.float32), np.zeros(size, np.float32), 0
+    """Adam on gradients that are `scale` times too long: the means are kept as plain sums with falling weights."""
+
+    def __init__(self, size: int, scale: float = 1):
+        self.sum, self.squares, self.step, self.scale = np.zeros(size, np.float32), np.zeros(size, np.float32), 0, scale
 
     def move(self, vector: np.ndarray, gradient: np.ndarray) -> None:
         self.step += 1
-        change = gradient - self.mean
-        change *= 0.1
-        self.mean += change
-        np.multiply(gradient, gradient, out=change)
-        change -= self.square
-        change *= 0.01
-        self.square += change
         rate = RATE * math.sqrt(1 - 0.99 ** self.step) / (1 - 0.9 ** self.step)
-        np.sqrt(self.square, out=change)
-        change += 1e-8
-        np.divide(self.mean, change, out=change)
-        change *= rate
-        vector -= change
+        for start in range(0, len(vector), MOVED):  # a run of each array stays in the processor's cache
+            part = slice(start, start + MOVED)
+            found, total, squares = gradient[part], self.sum[part], self.squares[part]
+            total *= 0.9
+            total += found
+            change = found * found
+            squares *= 0.99
+            squares += change
+            np.sqrt(squares, out=change)
+            change += 1e-7 * self.scale  # 1e-8 beside the root of the mean, which is a hundredth of the sum
+            np.divide(total, change, out=change)
+            change *= rate
+            vector[part] -= change
+
+
+def rounds(docs: DataFrame) -> DataFrame:
+    """`docs` (key, text) with the round of each row, written once in a folder a round, so that a round reads its own rows only."""
+    path = f"{checkpoint_dir(docs.sparkSession)}/rounds-{uuid.uuid4().hex}"
+    docs.withColumn("round", F.pmod(F.xxhash64("key", "text"), F.lit(ROUNDS)).cast("int")).write.partitionBy("round").parquet(path)
+    return docs.sparkSession.read.parquet(path)
 
 
 def share(docs: DataFrame, k: int, total: int) -> DataFrame:
@@ -442,7 +471,7 @@ def train(docs: DataFrame, text: str, head, start: np.ndarray) -> np.ndarray:
 
     def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, seen = Gru(sent.value.copy()), 0
-        adam = Adam(len(model.vector))
+        adam = Adam(len(model.vector), BATCH * WINDOW)  # small windows move it less
         for batch in batches:
             texts = batch.column(0)
             for a, b in pieces(texts, PIECE_BYTES):  # many texts, so that the lanes get about equally long
@@ -451,14 +480,13 @@ def train(docs: DataFrame, text: str, head, start: np.ndarray) -> np.ndarray:
                 states = np.zeros((BATCH, SIZE), np.float32)
                 for lanes, new, x, y, live in side_by_side(inputs, targets, offsets, BATCH, np.random.default_rng(len(targets))):
                     gradient, _, states[lanes] = model.window_gradient(x, y, live, np.where(new[:, None], np.float32(0), states[lanes]))
-                    adam.move(model.vector, gradient / (BATCH * WINDOW))  # small windows move it less
+                    adam.move(model.vector, gradient)
         if seen:
             yield pa.RecordBatch.from_pydict({"sums": [np.append(model.vector.astype(np.float64) * seen, seen).tobytes()]})
 
-    sums = docs.select(text).mapInArrow(learned, "sums binary").rdd.map(lambda r: np.frombuffer(r.sums)).cache()
-    total = None if sums.isEmpty() else sums.treeReduce(np.add)
-    sums.unpersist()
-    return start if total is None else (total[:-1] / total[-1]).astype(np.float32)
+    sums = docs.select(text).mapInArrow(learned, "sums binary").rdd.map(lambda r: np.frombuffer(r.sums))
+    total = sums.treeAggregate(0.0, np.add, np.add)
+    return (total[:-1] / total[-1]).astype(np.float32) if np.ndim(total) else start  # no row leaves the 0
 
 
 def score_piece(texts: pa.Array, head: Head, model: Gru) -> pa.RecordBatch:
@@ -482,9 +510,10 @@ def score_piece(texts: pa.Array, head: Head, model: Gru) -> pa.RecordBatch:
         state = None
         for chosen, first, x, y, live in windows(inputs, targets, offsets, order[begin:begin + SCORED]):
             state = np.zeros((len(chosen), SIZE), np.float32) if first == 0 else state[:len(chosen)]
-            states, state, _ = model.run(x, state)
-            column = np.broadcast_to(np.arange(len(chosen)), live.shape)[live]
-            total[chosen] += np.bincount(column, model.log_probabilities(by_token(states, live), y[live]), len(chosen))
+            entering, state, _, _ = model.run(x, state)
+            at = np.flatnonzero(live)
+            found = model.log_probabilities(by_token(entering), y.reshape(-1)[at], at=at)
+            total[chosen] += np.bincount(at % len(chosen), found, len(chosen))
     owner, other = text[~known], value[~known]
     order = np.lexsort((other, owner))
     owner, other = owner[order], other[order]
@@ -513,8 +542,9 @@ def log_likelihood(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     head = read_head(counts)
     shared, vector = spark.sparkContext.broadcast(head), initial(head)
     if head.total:
+        dealt = rounds(training)
         for k in range(ROUNDS):
-            vector = train(share(training, k, head.total), "text", shared, vector)
+            vector = train(share(dealt.filter(F.col("round") == k).drop("round"), k, head.total), "text", shared, vector)
     sent = spark.sparkContext.broadcast(vector)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

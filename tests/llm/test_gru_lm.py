@@ -201,3 +201,31 @@ def test_large_logits_do_not_overflow():
         model.p["class_bias"][:] += shift
         model.p["word_bias"][:] += shift
         assert np.allclose(model.log_probabilities(states, targets), before, atol=1e-2)
+
+
+def test_texts_are_read_three_times_whatever_the_rounds(spark):
+    """To count, to part them by rounds, to score; not once a round."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = [(k, None if k == 5 else f"text number {k % 40} of the table") for k in range(200)] + [(None, "no key")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").mapInArrow(counted, "doc_id long, text string")
+    check(rows, gru_lm.log_likelihood(docs).collect())
+    assert 2 * len(rows) <= read.value <= 3 * len(rows)
+
+
+def test_moves_are_those_of_plain_adam_on_scaled_gradients():
+    rng = np.random.default_rng(8)
+    size, scale = 2 * gru_lm.MOVED + 5, 3072
+    got, want, mean, square = np.zeros(size, np.float32), np.zeros(size), np.zeros(size), np.zeros(size)
+    adam = gru_lm.Adam(size, scale)
+    for step in range(1, 30):
+        gradient = rng.normal(size=size) * 10.0 ** rng.integers(-6, 3, size) * (rng.random(size) < 0.3)
+        adam.move(got, gradient.astype(np.float32))
+        mean, square = 0.9 * mean + 0.1 * gradient / scale, 0.99 * square + 0.01 * (gradient / scale) ** 2
+        want -= gru_lm.RATE * mean / (1 - 0.9 ** step) / (np.sqrt(square / (1 - 0.99 ** step)) + 1e-8 / math.sqrt(1 - 0.99 ** step))
+    assert np.abs(got - want).max() < 1e-5
