@@ -87,3 +87,13 @@ def test_singular_vectors(kind):
     assert np.allclose(found, want, rtol=1e-12, atol=1e-14)
     assert np.abs(vectors.T @ vectors - np.eye(size)).max() < 1e-9
     assert np.abs(matrix.T @ matrix @ vectors - vectors * found).max() < 1e-12
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_vectors_of_repeated_values_hold_nothing_of_others(seed):
+    rng, size = np.random.default_rng(seed), 40
+    left, right = (np.linalg.qr(rng.normal(size=(size, size)))[0] for _ in range(2))
+    matrix = left * np.repeat([3.0, 1.0, 0.0, 0.0], 10) @ right
+    found, vectors = right_singular(matrix, 20)
+    assert np.abs(vectors.T @ vectors - np.eye(20)).max() < 1e-12
+    assert np.abs(matrix.T @ matrix @ vectors - vectors * found[:20]).max() < 1e-12
