@@ -16,6 +16,7 @@ PIVOT = 1e-40       # stands in for a zero pivot
 LARGE = 1e100       # entries of a vector beyond it are scaled down
 CLOSE = 1e-5        # values nearer than this share of the largest are told apart by orthogonal starts
 SWEEPS = 3          # inverse iterations inside such a group
+CORRECTIONS = 3     # steps, each of which squares what is left of the error
 
 
 def bidiagonalise(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -192,7 +193,9 @@ def right_singular(matrix: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarr
             pairs.append((value, full))
     pairs.sort(key=lambda p: -p[0])
     values = np.array([v for v, _ in pairs])
-    vectors = refined(matrix / scale, values, right @ np.stack([z for _, z in pairs], axis=1), CLOSE * whole * whole)
+    vectors = right @ np.stack([z for _, z in pairs], axis=1)
+    for _ in range(CORRECTIONS):
+        vectors = refined(matrix / scale, values, vectors, CLOSE * whole * whole)
     return values * scale * scale, vectors[:, :count]
 
 
