@@ -16,7 +16,8 @@ PIVOT = 1e-40       # stands in for a zero pivot
 LARGE = 1e100       # entries of a vector beyond it are scaled down
 CLOSE = 1e-5        # values nearer than this share of the largest are told apart by orthogonal starts
 SWEEPS = 3          # inverse iterations inside such a group
-CORRECTIONS = 3     # steps, each of which squares what is left of the error
+CORRECTIONS = 3     # steps at most, each of which squares what is left of the error
+ORTHOGONAL = 1e-13  # error below which no more are taken
 
 
 def bidiagonalise(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -196,6 +197,8 @@ def right_singular(matrix: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarr
     vectors = right @ np.stack([z for _, z in pairs], axis=1)
     for _ in range(CORRECTIONS):
         vectors = refined(matrix / scale, values, vectors, CLOSE * whole * whole)
+        if np.abs(vectors.T @ vectors - np.eye(size)).max() <= ORTHOGONAL:
+            break
     return values * scale * scale, vectors[:, :count]
 
 
